@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.neighbours import nearest, neighbour_pairs
+from quillstone.llm.near_duplicates import expand_pairs, link_counts, near_duplicates
+from quillstone.llm.tokenizer import encode_documents
 from quillstone.llm.topn import top_items
 from quillstone.session import table
 
@@ -31,6 +33,29 @@ def p4_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return top_items(table(spark, sf, "ranked_results"), ["evaluation_id", "retrieval_source"], "canonical_chunk_id", "score", 20)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf, "evidence"), "evidence_id", "content", size=1, threshold=0.8)
+    return expand_pairs(*found).select(F.col("id_a").alias("evidence_id_a"), F.col("id_b").alias("evidence_id_b"))
+
+
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf, "evidence"), "evidence_id", "content", size=1, threshold=0.8)
+    return link_counts(*found).withColumnRenamed("id", "evidence_id")
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_WORDS = """
+    WITH words AS (
+        SELECT evidence_id AS id, unnest(list_distinct(regexp_extract_all(lower(nfc_normalize(content)), '[\\p{L}\\p{N}]+'))) AS word
+        FROM evidence),
+    sizes AS (SELECT id, count(*) AS n FROM words GROUP BY id),
+    shared AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM words a JOIN words b ON a.word = b.word AND a.id < b.id GROUP BY ALL),
+    pairs AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9)
+"""
 _TOP = """
     WITH best AS (
         SELECT evaluation_id, retrieval_source, canonical_chunk_id, max(score) AS score FROM ranked_results
@@ -47,6 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _WORDS + "SELECT a AS evidence_id_a, b AS evidence_id_b FROM pairs",
+        "p5_links": _WORDS + """,
+            sets AS (SELECT id, list_sort(list(word)) AS words FROM words GROUP BY id),
+            ends AS (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs)
+            SELECT id AS evidence_id, min(id) OVER (PARTITION BY words) AS class_id,
+                (SELECT count(*) FROM ends e WHERE e.id = sets.id) AS links FROM sets""",
         "p4_found": _TOP + "SELECT evaluation_id, retrieval_source, canonical_chunk_id FROM ranked WHERE rank <= 5",
         "p4_ranked": _TOP + "SELECT evaluation_id, retrieval_source, canonical_chunk_id, score, rank FROM ranked WHERE rank <= 20",
     }
