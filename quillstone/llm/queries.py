@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.neighbours import nearest, neighbour_pairs
 from quillstone.llm.near_duplicates import expand_pairs, link_counts, near_duplicates
-from quillstone.llm.tokenizer import encode_documents
+from quillstone.llm.packing import fill_containers, fill_report
+from quillstone.llm.tokenizer import count_tokens, encode_documents
 from quillstone.llm.topn import top_items
 from quillstone.session import table
 
@@ -47,6 +48,19 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf, "documents"), "doc_id", "text")
+    packed = fill_containers(sizes, "doc_id", "tokens", table(spark, sf, "pack_profiles"), "profile_id", "capacity_tokens")
+    return packed.withColumnsRenamed({"profile": "profile_id", "id": "doc_id", "size": "tokens"})
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf, "documents"), "doc_id", "text")
+    profiles = table(spark, sf, "pack_profiles")
+    packed = fill_containers(sizes, "doc_id", "tokens", profiles, "profile_id", "capacity_tokens")
+    return fill_report(packed, profiles, "profile_id", "capacity_tokens").withColumnRenamed("profile", "profile_id")
+
+
 _WORDS = """
     WITH words AS (
         SELECT evidence_id AS id, unnest(list_distinct(regexp_extract_all(lower(nfc_normalize(content)), '[\\p{L}\\p{N}]+'))) AS word
