@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.garbled import find_garbled
 from quillstone.llm.neighbours import nearest, neighbour_pairs
 from quillstone.llm.near_duplicates import expand_pairs, link_counts, near_duplicates
 from quillstone.llm.packing import fill_containers, fill_report
@@ -61,6 +62,14 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(packed, profiles, "profile_id", "capacity_tokens").withColumnRenamed("profile", "profile_id")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_garbled(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return find_garbled(table(spark, sf, "documents"), "doc_id", "text")
+
+
 _WORDS = """
     WITH words AS (
         SELECT evidence_id AS id, unnest(list_distinct(regexp_extract_all(lower(nfc_normalize(content)), '[\\p{L}\\p{N}]+'))) AS word
