@@ -10,12 +10,40 @@ from pyspark.sql import functions as F
 from quillstone.llm.garbled import find_garbled
 from quillstone.llm.neighbours import nearest, neighbour_pairs
 from quillstone.llm.near_duplicates import expand_pairs, link_counts, near_duplicates
+from quillstone.llm.pair_defects import find_defects, one_type
 from quillstone.llm.packing import fill_containers, fill_report
 from quillstone.llm.tokenizer import count_tokens, encode_documents
 from quillstone.llm.topn import top_items
+from quillstone.llm.truncation import find_truncated, length_limits, truncation_by_source
 from quillstone.session import table
 
 
+_PAIR = {"question": "question", "answer": "answer", "abstained": "abstention_detected", "error": "generation_error",
+         "tokens": "completion_tokens", "source": "source", "model": "generator_model"}
+_CUT = {k: _PAIR[k] for k in ("source", "model", "tokens", "question")}
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return one_type(find_defects(table(spark, sf, "rag_answers"), "trace_id", **_PAIR)).withColumnRenamed("id", "trace_id")
+
+
+def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return find_defects(table(spark, sf, "rag_answers"), "trace_id", **_PAIR).withColumnRenamed("id", "trace_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_truncated(table(spark, sf, "rag_answers"), "trace_id", "answer", **_CUT)
+    return found.where("truncated").select(F.col("id").alias("trace_id"))
+
+
+def p2_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation_by_source(find_truncated(table(spark, sf, "rag_answers"), "trace_id", "answer", **_CUT))
+
+
+def p2_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return length_limits(table(spark, sf, "rag_answers"), "source", "answer")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neighbour_pairs(nearest(table(spark, sf, "policy_chunks"), "chunk_id", "embedding", k=5))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
