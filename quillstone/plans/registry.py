@@ -29,3 +29,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Imports the plans, which register their queries."""
+    import importlib
+
+    for name in ("evaluation",):
+        importlib.import_module(f"quillstone.plans.{name}")
+
+
+load()
