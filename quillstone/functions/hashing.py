@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Between the parts of an identity; a null part is marked so that it differs from an empty one.
 SEPARATOR, NULL = "\u001f", "\u0000"
@@ -27,14 +28,14 @@ def uuid5(namespace: str):
     """A pandas function: the name-based UUID of a text in a namespace."""
     space = uuid.uuid5(uuid.NAMESPACE_URL, namespace)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def named(text: pd.Series) -> pd.Series:
         return text.map(lambda t: str(uuid.uuid5(space, t)), na_action="ignore")
 
     return named
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def vector_hash(vector: pd.Series) -> pd.Series:
     """SHA-256 of a vector as little-endian floats."""
     return vector.map(lambda v: hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest(), na_action="ignore")

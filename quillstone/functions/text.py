@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = r"(?U)\s+"
 
@@ -21,13 +22,13 @@ def unified_newlines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed letters. Spark has no normalization function."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Lower-case ASCII letters and digits joined by hyphens; accents are dropped."""
 
