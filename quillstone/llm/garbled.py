@@ -87,16 +87,18 @@ def _decoded(encoding: str, sequence: str) -> str | None:
         char = bytes(by[c] for c in sequence).decode("utf-8", "strict")
     except UnicodeDecodeError:
         return None
-    nested = "\u0080" <= char <= "\u009f" and sequence[-1] == char  # a control character encoded once more
-    return char if nested or PLAUSIBLE.fullmatch(char) else None
+    return char if "\u0080" <= char <= "\u009f" or PLAUSIBLE.fullmatch(char) else None
 
 
 def _meant(m: re.Match, encoding: str) -> str | None:
     """The character that a sequence stands for; None if the text may mean the sequence itself.
 
-    A capital with a no-break space between capitals is a word of a heading and the space behind it.
+    A capital with a no-break space between capitals is a word of a heading and the space behind it. A control character is
+    the middle of a letter that was garbled before: it is one in itself or follows the rest of that letter.
     """
     char = _decoded(encoding, m[0])
+    if char and char <= "\u009f" and char != m[0][-1] and m.string[m.start() - 1 : m.start()] not in _TAILS[encoding]:
+        return None
     if char and m[0][-1] == "\u00a0" and m[0][0].isupper() and m.string[m.end() : m.end() + 1].isupper() and m.string[m.start() - 1 : m.start()].isupper():
         return None
     return char
