@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,10 @@ from quillstone.functions.text import tokens
 
 #: Weights of titles (A), headings (B) and contents (C), as usual defaults of weighted text search.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+#: Queries that are sent to the tasks at once.
+BLOCK_QUERIES = 1000
+#: Most rows of (query, term) that are broadcast; beyond it they are joined by shuffles.
+BROADCAST_TERMS = 100_000
 
 
 def postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -37,20 +45,58 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return listed.select("query_id", F.explode("t").alias("term"), F.size("t").alias("terms"))
 
 
-def match(index: DataFrame, terms: DataFrame, mode: str, k: int) -> DataFrame:
-    """``query_id, id, matched, score, rank``: the ``k`` best matches, all (``and``) or any (``or``) of the terms.
+def search(df: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame, mode: str, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
+    """``query_id, id, matched, score, rank``: the ``k`` best matches, all (``and``) or any (``or``) of a query's terms.
 
-    The score is the weighted number of occurrences, dampened by 1 + ln. Term rows are summed before the ranking, so a common
-    term costs its postings once for each query that has it and never a pair of documents.
+    The score is the weighted number of occurrences, dampened by 1 + ln. All tokens of a document lie in one row, so a task
+    scores its documents against a block of queries and keeps ``k`` for each query: common terms never make a pair of query
+    and document leave its task, and one small shuffle joins the tasks' best. Queries go out in blocks of bounded size. Ties
+    go to the smaller id; documents without a match, null ids and queries without terms have no rows.
     """
-    weight = reduce(lambda a, b: a + b, (F.lit(v) * F.when(F.col(f"tf_{w.lower()}") > 0, 1 + F.log(F.col(f"tf_{w.lower()}").cast("double"))).otherwise(0.0)
-                                         for w, v in WEIGHTS.items()))
-    found = index.join(terms, "term").groupBy("query_id", "id").agg(
-        F.count("*").alias("matched"), F.first("terms").alias("terms"), F.round(F.sum(weight), 6).alias("score"))
-    if mode == "and":
-        found = found.where(F.col("matched") == F.col("terms"))
+    ids = [F.col(id_col).cast("long").alias("id")]
+    listed = df.select(*ids, *(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"f{i}") for i, c in enumerate(fields))).where("id IS NOT NULL")
+    weights = [WEIGHTS[w] for w in fields.values()]
+    kind = terms.schema["query_id"].dataType.simpleString()
+    count = terms.select("query_id").distinct().count()
+    parts = []
+    for b in range(max(1, -(-count // block))):
+        own = terms if count <= block else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-count // block))) == b)
+        asked = own.select("query_id", "term", "terms").toArrow()
+        query = pc.dictionary_encode(asked["query_id"]).combine_chunks()
+        vocabulary = pc.unique(asked["term"])
+        at = pc.index_in(asked["term"], vocabulary).to_numpy()
+        has = np.zeros((len(query.dictionary), len(vocabulary)), np.float32)
+        has[query.indices.to_numpy(), at] = 1
+        sent = df.sparkSession.sparkContext.broadcast((query.dictionary, vocabulary, has))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, vocabulary, has = sent.value
+            need = has.sum(1)
+            for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                n, size = len(ids), len(vocabulary)
+                gain, there = np.zeros((n, size)), np.zeros((n, size), bool)
+                for i, w in enumerate(weights):
+                    field = batch.column(f"f{i}")
+                    row = np.repeat(np.arange(n), field.value_lengths().to_numpy())
+                    term = pc.index_in(field.flatten(), vocabulary).fill_null(-1).to_numpy()
+                    seen = np.bincount((row * size + term)[term >= 0], minlength=n * size).reshape(n, size)
+                    gain += w * np.where(seen > 0, 1 + np.log(np.maximum(seen, 1)), 0)
+                    there |= seen > 0
+                score, matched = np.round(gain @ has.T.astype(float), 6), there.astype(np.float32) @ has.T
+                good = (matched == need) if mode == "and" else matched > 0
+                order = np.argsort(ids, kind="stable")
+                ranked = np.where(good, -score, np.inf)[order]
+                top = np.argsort(ranked, axis=0, kind="stable")[:k].T
+                keep = np.isfinite(np.take_along_axis(ranked.T, top, 1))
+                q = np.repeat(np.arange(len(names)), keep.sum(1))
+                d = order[top[keep]]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids[d]), pa.array(matched[d, q].astype(np.int64)), pa.array(score[d, q])],
+                                                 ["query_id", "id", "matched", "score"])
+
+        parts.append(listed.mapInArrow(best, f"query_id {kind}, id long, matched long, score double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "matched", "score", "rank")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def cover_density(posted: DataFrame, terms: DataFrame, k: int) -> DataFrame:
@@ -59,7 +105,8 @@ def cover_density(posted: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     A cover is a shortest stretch of positions that holds every term of the query. It adds (number of terms) / (1 + its
     length beyond the number of terms). All in windows: for each occurrence the last position of every other term so far.
     """
-    here = posted.join(terms, "term")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    here = posted.join(F.broadcast(terms) if few else terms, "term")
     order = Window.partitionBy("query_id", "id").orderBy("position")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     # the start of the shortest stretch that ends here: the smallest of the last positions of all terms

@@ -161,9 +161,15 @@ _INDEX = """
 """
 
 
+_FIELDS = {"heading": "B", "content": "C"}
+
+
+def _chunks(spark, sf):
+    return table(spark, sf, "policy_chunks").select("chunk_id", F.array_join("heading_path", " ").alias("heading"), "content")
+
+
 def _index(spark, sf):
-    chunks = table(spark, sf, "policy_chunks").select("chunk_id", F.array_join("heading_path", " ").alias("heading"), "content")
-    return ft.postings(chunks, "chunk_id", {"heading": "B", "content": "C"})
+    return ft.postings(_chunks(spark, sf), "chunk_id", _FIELDS)
 
 
 def _terms(spark, sf):
@@ -174,13 +180,13 @@ def _terms(spark, sf):
 @query(_INDEX + "SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found QUALIFY rank <= 10")
 def fulltext_any(spark, sf):
     """Any term matches; weighted, dampened occurrences."""
-    return ft.match(ft.term_frequencies(_index(spark, sf)), _terms(spark, sf), "or", 10)
+    return ft.search(_chunks(spark, sf), "chunk_id", _FIELDS, _terms(spark, sf), "or", 10)
 
 
 @query(_INDEX + "SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found WHERE matched = terms QUALIFY rank <= 10")
 def fulltext_all(spark, sf):
     """Every term must match."""
-    return ft.match(ft.term_frequencies(_index(spark, sf)), _terms(spark, sf), "and", 10)
+    return ft.search(_chunks(spark, sf), "chunk_id", _FIELDS, _terms(spark, sf), "and", 10)
 
 
 @query(_INDEX + "SELECT term, count(*) AS documents, sum(tf_b + tf_c) AS occurrences FROM idx GROUP BY ALL")

@@ -167,7 +167,9 @@ def test_cover_density(spark):
 
 def test_fulltext_modes(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "id long, t string")
-    index = fulltext.term_frequencies(fulltext.postings(docs, "id", {"t": "A"}))
-    terms = fulltext.query_terms(spark.createDataFrame([("q", "Alpha BETA alpha"), ("e", "?")], "q string, t string"), "q", "t")
-    assert [r.id for r in fulltext.match(index, terms, "and", 5).collect()] == [1]
-    assert [r.id for r in fulltext.match(index, terms, "or", 5).orderBy("rank").collect()] == [1, 2]
+    terms = fulltext.query_terms(spark.createDataFrame([("q", "Alpha BETA alpha"), ("e", "?"), ("r", "beta")], "q string, t string"), "q", "t")
+    every = fulltext.search(docs, "id", {"t": "A"}, terms, "and", 5)
+    assert rows(every.select("query_id", "id", "matched", "score")) == [("q", 1, 2, 2.0), ("r", 1, 1, 1.0)]
+    some = fulltext.search(docs, "id", {"t": "A"}, terms, "or", 5)
+    assert rows(some.select("query_id", "id", "rank")) == [("q", 1, 1), ("q", 2, 2), ("r", 1, 1)]
+    assert rows(fulltext.search(docs, "id", {"t": "A"}, terms, "or", 5, block=1)) == rows(some)
