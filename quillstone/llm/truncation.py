@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.session import ensure_checkpoint_dir
+
 #: Answers that stand for nothing: labels, placeholders of programs, empty marks (fixed values).
 _NOTHING = regex.compile(
     r"(?:answer|response|output|trả lời|câu trả lời|đáp án|réponse|回答|答案|none|null|nil|nan|n/a|na|undefined|"
@@ -23,6 +25,7 @@ _LEAD_IN = regex.compile(r"\s*(?:căn cứ|theo|according to|based on|d'après|s
 _OPEN_END = regex.compile(r"\[[^\[\]\n]{0,12}$|\([^()\n]{0,60}$|（[^（）\n]{0,60}$")
 _TOKEN = regex.compile(r"\p{Han}|[^\W_\p{Han}]+(?:[.,/%'’\-][^\W_\p{Han}]+)*%?|[^\w\s]|\n")
 _BULLET = regex.compile(r"\s*(?:[-•*–]|\d+[.)])\s+")
+_DIGITS = regex.compile(r"\d+")
 _ENDS = frozenset(".!?。！？;；:：\n")
 _CLOSED = tuple(".!?。！？…\"”»'’)）>}`」』")
 #: The measures under which a limit of storage may be hidden.
@@ -36,6 +39,8 @@ def has_content(text: str | None) -> bool:
     """False for null, blank, labels, placeholders, marks, empty markup and bare citations."""
     if not text:
         return False
+    if len(text) > 400 and len(_MARKUP.sub(" ", text[:400]).split()) > 12:  # what holds for a part holds for the whole
+        return True
     bare = _MARKUP.sub(" ", text)
     return not (not bare.strip() or _NOTHING.fullmatch(text.strip()) or _NOTHING.fullmatch(bare.strip()))
 
@@ -84,8 +89,7 @@ def token_limits(df: DataFrame, model: str, tokens: str) -> DataFrame:
 
 def _words(text: str) -> list[str]:
     """Words and marks in lower case, digits as 0, without citations and emphasis."""
-    text = CITATION.sub("", text.replace("**", "")).lower()
-    return [regex.sub(r"\d+", "0", t) if t[0].isalnum() else t for t in _TOKEN.findall(text)]
+    return _TOKEN.findall(_DIGITS.sub("0", CITATION.sub("", text.replace("**", "")).lower()))
 
 
 def _gram(words: list[str]) -> int:
@@ -131,24 +135,22 @@ def ending(answer: str | None, question: str | None = None) -> tuple[str, list[s
         return "cut", []
     if cited:
         return "whole", []
-    words = _words(text)
     if text.endswith(_CLOSED):
-        tail = [w for w in words[-8:] if w[0].isalnum()][-3:]
-        number = text[-1] == "." and len(text) > 1 and text[-2].isdigit() and tail
-        return ("number", tail) if number else ("whole", [])
+        number = text[-1] == "." and len(text) > 1 and text[-2].isdigit()
+        tail = [w for w in _words(text[-200:])[-8:] if w[0].isalnum()][-3:] if number else []
+        return ("number", tail) if tail else ("whole", [])
     if not (text[-1].isalnum() or text[-1] in "%‰°") and not regex.match(r"\p{M}", text[-1]):
         return "cut", []
-    if question:
-        asked = [w for w in _words(question) if w[0].isalnum()]
-        said = [w for w in words if w[0].isalnum()]
+    if question and len(text) < 3 * len(question) + 100:
+        asked, said = ([w for w in _words(t) if w[0].isalnum()] for t in (question, text))
         if asked and (said[-5:] == asked[-5:] or len(said) > 4 and not Counter(said) - Counter(asked)):  # gives the question back
             return "whole", []
     lines = [x for x in text.split("\n") if x.strip()]
     items = [x for x in lines if _BULLET.match(x)]
     if len(items) > 1 and lines[-1] == items[-1] and not any(x.rstrip().endswith((*_CLOSED, "]")) for x in items[:-1]):
         return "list", [w for w in _words(_BULLET.sub("", lines[-1])) if w[0].isalnum()][-3:]
-    plain = [w for w in words if w[0].isalnum()]
-    return ("phrase", plain) if len(plain) <= 4 and len(lines) == 1 else ("cut", [])
+    plain = [w for w in _words(text) if w[0].isalnum()] if len(lines) == 1 and len(text) < 200 else []
+    return ("phrase", plain) if 0 < len(plain) <= 4 else ("cut", [])
 
 
 def find_truncated(df: DataFrame, id_col: str, text: str, *, source: str, model: str, tokens: str, question: str | None = None) -> DataFrame:
@@ -191,6 +193,8 @@ def find_truncated(df: DataFrame, id_col: str, text: str, *, source: str, model:
     known = known.select("id", "source", "ending", "g3", "g2", (on_limit | on_cap).alias("at_limit"),
                          F.coalesce(F.col("tokens") > 12 + F.col("length") * 0.7, F.lit(False)).alias("excess"))
 
+    ensure_checkpoint_dir(df.sparkSession)
+    known = known.checkpoint()  # read twice below; the texts are classified once
     unsettled = F.col("ending").isin("list", "number", "phrase")
     grams = ending_statistics(df, text)
     third, second = (grams.select(F.col("gram").alias(g), F.col("ends").alias(f"e{g}"), F.col("goes_on").alias(f"o{g}")) for g in ("g3", "g2"))
