@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 ENCODINGS = ("western", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r")
 #: The other direction: text stored in this Vietnamese code page and read as ``western``.
 VIETNAMESE = "cp1258"
+#: And text stored in this Chinese code page and read as ``western``: runs of at least four letters and signs.
+CHINESE = "gbk"
+_CHINESE_RUN = "[\u00a1-\u00fe]{4,}"
 #: What a decoded sequence may be: letters of Latin scripts in use here, their marks, punctuation, symbols, CJK and emoji.
 PLAUSIBLE = re.compile(
     "[\u00a0-\u00ff\u0102\u0103\u0110\u0111\u0128\u0129\u0152\u0153\u0160\u0161\u0168\u0169\u0178\u017d\u017e\u0192\u01a0\u01a1\u01af\u01b0"
@@ -90,6 +93,22 @@ def _decoded(encoding: str, sequence: str) -> str | None:
     return char if "\u0080" <= char <= "\u009f" or PLAUSIBLE.fullmatch(char) else None
 
 
+_RUN = re.compile(_CHINESE_RUN)
+_HAN = re.compile("[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]+")
+
+
+@lru_cache(maxsize=65_536)
+def _chinese(run: str) -> str | None:
+    """What a run stands for in the Chinese page; None if it doesn't decode or is mostly UTF-8 read as ``western``."""
+    if 2 * sum(len(m[0]) for m in _PATTERN["western"].finditer(run) if _decoded("western", m[0])) > len(run):
+        return None
+    try:
+        text = run.encode("latin-1").decode(CHINESE, "strict")
+    except UnicodeDecodeError:
+        return None
+    return text if _HAN.fullmatch(text) else None
+
+
 def _meant(m: re.Match, encoding: str) -> str | None:
     """The character that a sequence stands for; None if the text may mean the sequence itself.
 
@@ -113,6 +132,9 @@ def cost(text: str) -> int:
     """Characters in sequences that some encoding decodes plausibly, or that are signs by themselves, outside quoted examples."""
     text = _QUOTED.sub(lambda m: " " * len(m[0]), text)
     spots = {m.start() for m in _SIGN.finditer(text)}
+    for m in _RUN.finditer(text):
+        if _chinese(m[0]):
+            spots.update(range(m.start(), m.end()))
     for e in _possible(text):
         for m in _PATTERN[e].finditer(text):
             if _meant(m, e):
@@ -124,6 +146,10 @@ def _undo(text: str, encoding: str) -> str:
     if encoding == VIETNAMESE:  # only sentences that show it: other letters mean themselves in either page
         parts = re.split(r"(?<=[.;?!])(?=\s)|(?<=\n)", text)
         return "".join(unicodedata.normalize("NFC", "".join(_READ_AS.get(c, c) for c in p)) if _PAGE.search(p) else p for p in parts)
+    if encoding == CHINESE:  # short runs beside long ones are of the same page
+        if not any(_chinese(m[0]) for m in _RUN.finditer(text)):
+            return text
+        return re.sub("[\u00a1-\u00fe]{2,}", lambda m: _chinese(m[0]) or m[0], text)
     text = _PATTERN[encoding].sub(lambda m: _meant(m, encoding) or m[0], text)
     return _LOST_SPACE.sub("\u00e0", text) if encoding == "western" else text
 
@@ -134,7 +160,7 @@ def repair(text: str) -> tuple[int, list[str], str, int]:
     undone: list[str] = []
     while now and len(undone) < _LAYERS:
         best = None
-        for e in [*_possible(text), VIETNAMESE]:
+        for e in [*_possible(text), VIETNAMESE, CHINESE]:
             new = _undo(text, e)
             if new != text and (c := cost(new)) < now and (best is None or c < best[0]):
                 best = c, e, new
@@ -147,7 +173,7 @@ def repair(text: str) -> tuple[int, list[str], str, int]:
 
 def suspicious() -> str:
     """A pattern that every text with a positive cost matches, for Spark's own filter; ASCII is passed over at once."""
-    return rf"(?=[^\u0000-\u007f])(?:{'|'.join(map(sequence_pattern, ENCODINGS))}|{_SIGNS})"
+    return rf"(?=[^\u0000-\u007f])(?:{'|'.join(map(sequence_pattern, ENCODINGS))}|{_CHINESE_RUN}|{_SIGNS})"
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -127,6 +127,10 @@ def ending(answer: str | None, question: str | None = None) -> tuple[str, list[s
     if not has_content(answer):
         return "empty", []
     text = answer.rstrip()
+    while text.endswith("**") and text.count("**") % 2 == 0:  # emphasis that was opened and closed
+        text = text[:-2].rstrip()
+    if not text or text.endswith(("’", "'")) and text[-2:-1].isalnum() and not regex.search(r"(?:^|\s)[‘']\w", text):  # an apostrophe inside a word
+        return "cut", []
     if text.endswith("�") or _OPEN_END.search(text[-80:]):
         return "cut", []
     cited = _LAST_CITATION.search(text)

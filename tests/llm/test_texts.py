@@ -169,6 +169,12 @@ def test_vietnamese_page_read_as_western():
     assert before and layers == ["cp1258"] and after == "Đơn vị kinh doanh phải bảo đảm" and left == 0
 
 
+def test_chinese_page_read_as_western():
+    text = "第42章 贷后管理\n档案RN-79925显示抵押合同金额"
+    before, layers, after, left = garbled.repair(text.encode("gbk").decode("latin-1"))
+    assert before and layers == ["gbk"] and after == text and left == 0
+
+
 def test_find_garbled(spark):
     data = [(1, "sử dá»¥ng"), (2, None), (3, ""), (4, "  "), (5, "lost � sign"), (1, "sử dá»¥ng"), (None, "Ã©tÃ©"), (6, "good"), (7, ("word " * 9000) + "dá»¥ng")]
     got = garbled.find_garbled(spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, cost int"), "doc_id", "text")
