@@ -151,7 +151,7 @@ def _undo(text: str, encoding: str) -> str:
             return text
         return re.sub("[\u00a1-\u00fe]{2,}", lambda m: _chinese(m[0]) or m[0], text)
     text = _PATTERN[encoding].sub(lambda m: _meant(m, encoding) or m[0], text)
-    return _LOST_SPACE.sub("\u00e0", text) if encoding == "western" else text
+    return _LOST_SPACE.sub("\u00e0", text).replace("\u00e1\u00ba ", "\u1ea0") if encoding == "western" else text
 
 
 def repair(text: str) -> tuple[int, list[str], str, int]:

@@ -47,10 +47,10 @@ def has_content(text: str | None) -> bool:
 
 def lengths(text: Column) -> dict[str, Column]:
     """The length of a text in each of ``MEASURES``; what a cut left of a torn character at the end is not counted."""
-    text = F.regexp_replace(text, "�+$", "")
+    text = F.rtrim(text, F.lit("�"))
     count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    wide = F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10ffff}]", "00"))
-    crlf = F.length(text) + count("\n") - F.regexp_count(text, F.lit("\r\n"))
+    wide = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    crlf = F.length(text) + count("\n") - (F.length(text) - F.length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2
     html = F.length(text) + 4 * count("&") + 3 * count("<>") + 5 * count("\"")
     short = count("\n\r\t\"\\")
     ascii_only = F.length(F.regexp_replace(text, "[^\\x00-\\x7f]", ""))
