@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import evaluation as ev
-from quillstone.plans.common import LIST, RUNS, runs
+from quillstone.plans.common import LIST, RUNS, items_of_runs, runs
 from quillstone.plans.registry import query
 from quillstone.session import table
 
@@ -37,7 +37,7 @@ def _gold(spark, sf):
 
 
 def _metrics(spark, sf):
-    found = ev.hits(runs(spark, sf), _gold(spark, sf), BY, "evaluation_id", "canonical_chunk_id")
+    found = ev.hits(runs(spark, sf, 20), _gold(spark, sf), BY, "evaluation_id", "canonical_chunk_id")
     return ev.metrics_at(found, BY, "evaluation_id", [1, 3, 5, 10, 20])
 
 
@@ -67,11 +67,13 @@ def metrics_by_scope(spark, sf):
     SELECT retrieval_source, run, CASE WHEN first_rank <= 10 THEN '1-10' WHEN first_rank <= 20 THEN '11-20' WHEN first_rank > 20 THEN '>20' ELSE 'absent' END AS bucket,
         count(*) AS queries FROM lists LEFT JOIN found USING (retrieval_source, run, evaluation_id) GROUP BY ALL""")
 def first_rank_buckets(spark, sf):
-    """Where the first expected passage stands."""
-    found = ev.hits(runs(spark, sf), _gold(spark, sf), BY, "evaluation_id", "canonical_chunk_id")
+    """Where the first expected passage stands. Only the first twenty are ranked; below, being there is enough."""
+    gold, items = _gold(spark, sf), items_of_runs(spark, sf)
+    found = ev.hits(runs(spark, sf, 20), gold, BY, "evaluation_id", "canonical_chunk_id")
+    there = items.join(gold.select("evaluation_id", F.col("item").alias("canonical_chunk_id")), ["evaluation_id", "canonical_chunk_id"]).select(*LIST).distinct().withColumn("there", F.lit(True))
     first = F.try_element_at("ranks", F.lit(1))
-    bucket = F.when(first <= 10, "1-10").when(first <= 20, "11-20").when(first > 20, ">20").otherwise("absent")
-    return found.groupBy(*BY, bucket.alias("bucket")).agg(F.count("*").alias("queries"))
+    bucket = F.when(first <= 10, "1-10").when(first <= 20, "11-20").when(F.col("there"), ">20").otherwise("absent")
+    return found.join(there, LIST, "left").groupBy(*BY, bucket.alias("bucket")).agg(F.count("*").alias("queries"))
 
 
 @query(f"""WITH {RUNS},
@@ -86,7 +88,7 @@ def first_rank_buckets(spark, sf):
     FROM lists JOIN sizes USING (evaluation_id) LEFT JOIN found USING (retrieval_source, evaluation_id, depth) GROUP BY ALL""")
 def candidate_coverage(spark, sf):
     """Hit, recall and number of candidates at depths 5 to 50, first run."""
-    r = runs(spark, sf).where("run = 1")
+    r = runs(spark, sf, 50).where("run = 1")
     found = ev.hits(r, _gold(spark, sf), ["retrieval_source"], "evaluation_id", "canonical_chunk_id")
     sizes = r.groupBy("retrieval_source", "evaluation_id").agg(F.count("*").alias("length"))
     each = found.join(sizes, ["retrieval_source", "evaluation_id"]).withColumn("depth", F.explode(F.array(*map(F.lit, (5, 10, 20, 50)))))
@@ -157,15 +159,18 @@ def rerank_changes(spark, sf):
 def miss_classes(spark, sf):
     """Why an expected passage isn't among the first five of vector retrieval: ordered rules, the first that holds."""
     gold = _gold(spark, sf)
-    r = runs(spark, sf).where("run = 1 AND retrieval_source = 'vector'").select("evaluation_id", "canonical_chunk_id", "rank")
+    wanted_items = gold.select("evaluation_id", F.col("item").alias("canonical_chunk_id"))
+    items = items_of_runs(spark, sf).where("run = 1 AND retrieval_source = 'vector'").select("evaluation_id", "canonical_chunk_id")
+    r = runs(spark, sf, 5).where("run = 1 AND retrieval_source = 'vector'").select("evaluation_id", "canonical_chunk_id", "rank")
     source = table(spark, sf, "policy_chunks").select("canonical_chunk_id", "source_id")
-    found = r.join(gold.withColumnRenamed("item", "canonical_chunk_id"), ["evaluation_id", "canonical_chunk_id"]).groupBy("evaluation_id").agg(F.min("rank").alias("first"))
-    size = r.groupBy("evaluation_id").agg(F.count("*").alias("n"))
-    served = r.where("rank <= 5").join(source, "canonical_chunk_id").select("evaluation_id", "source_id")
+    found = r.join(wanted_items, ["evaluation_id", "canonical_chunk_id"]).groupBy("evaluation_id").agg(F.min("rank").alias("first"))
+    size = items.groupBy("evaluation_id").agg(F.count("*").alias("n"))
+    lower = items.join(wanted_items, ["evaluation_id", "canonical_chunk_id"]).select("evaluation_id").distinct().withColumn("lower", F.lit(True))
+    served = r.join(source, "canonical_chunk_id").select("evaluation_id", "source_id")
     wanted = gold.join(source, gold.item == source.canonical_chunk_id).select("evaluation_id", "source_id")
     near = served.join(wanted, ["evaluation_id", "source_id"]).select("evaluation_id").distinct().withColumn("near", F.lit(True))
-    state = gold.select("evaluation_id").distinct().join(size, "evaluation_id", "left").join(found, "evaluation_id", "left").join(near, "evaluation_id", "left")
-    miss = (F.when(F.col("n").isNull(), "NO_RESULT").when(F.col("first") <= 5, "FOUND").when(F.col("first").isNotNull(), "RANKED_TOO_LOW")
+    state = gold.select("evaluation_id").distinct().join(size, "evaluation_id", "left").join(found, "evaluation_id", "left").join(lower, "evaluation_id", "left").join(near, "evaluation_id", "left")
+    miss = (F.when(F.col("n").isNull(), "NO_RESULT").when(F.col("first").isNotNull(), "FOUND").when(F.col("lower"), "RANKED_TOO_LOW")
             .when(F.col("near"), "RIGHT_SOURCE").otherwise("WRONG_SOURCE"))
     return state.select("evaluation_id", miss.alias("miss"))
 
@@ -256,10 +261,10 @@ def repeated_questions(spark, sf):
 @query(f"""WITH {RUNS} SELECT retrieval_source, run, evaluation_id, max(score) - min(score) AS spread, count(*) AS items,
     max(score) - max(CASE WHEN rank > 20 THEN score END) AS margin FROM runs GROUP BY ALL""")
 def score_margins(spark, sf):
-    """Spread of each list and the margin of its best score over rank 21."""
-    r = runs(spark, sf)
-    return r.groupBy(*LIST).agg((F.max("score") - F.min("score")).alias("spread"), F.count("*").alias("items"),
-                                (F.max("score") - F.max(F.when(F.col("rank") > 20, F.col("score")))).alias("margin"))
+    """Spread of each list and the margin of its best score over rank 21; only 21 of each list are ranked."""
+    whole = items_of_runs(spark, sf).groupBy(*LIST).agg((F.max("score") - F.min("score")).alias("spread"), F.count("*").alias("items"))
+    top = runs(spark, sf, 21).groupBy(*LIST).agg((F.max("score") - F.max(F.when(F.col("rank") > 20, F.col("score")))).alias("margin"))
+    return whole.join(top, LIST).select(*LIST, "spread", "items", "margin")
 
 
 @query("""SELECT retrieval_source, score_semantics, count(*) AS items, count(*) FILTER (score IS NULL) AS no_score, count(*) FILTER (NOT isfinite(score)) AS not_finite,
