@@ -39,6 +39,11 @@ def term_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("id", "term").agg(*(F.count_if(F.col("weight") == w).alias(f"tf_{w.lower()}") for w in WEIGHTS))
 
 
+def refreshed(index: DataFrame, changed: DataFrame, posted: DataFrame) -> DataFrame:
+    """``index`` after some documents changed: ``changed(id)`` names them, ``posted`` are their new postings (none if deleted)."""
+    return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(term_frequencies(posted))
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """``query_id, term, terms``: the distinct tokens of each query and their number; a query without tokens has no row."""
     listed = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(text))).alias("t"))

@@ -116,6 +116,26 @@ def article_instances(spark, sf):
     return found.groupBy(*by, "instance").agg(F.count("*").alias("provisions"), length.alias("packed_length"), F.when(length <= 2400, "PACK").otherwise("SPLIT").alias("action"))
 
 
+@query(_ISLANDS + """, a AS (SELECT source_id, version_id, section, instance, string_agg(content, chr(10) ORDER BY page_start NULLS LAST, chunk_id) AS whole FROM i GROUP BY ALL)
+    SELECT source_id, version_id, section, instance, sha256(whole) AS whole_hash, length(whole) AS characters FROM a""")
+def packed_articles(spark, sf):
+    """Articles packed into chunks of at most 2,400 characters, then put together again: what comes out must be the article."""
+    by, order = ["source_id", "version_id", "section"], [F.asc_nulls_last("page_start"), F.asc("chunk_id")]
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = table(spark, sf, "policy_chunks").select(*by, "page_start", "chunk_id", "article", "chapter", "content")
+    fresh = ~F.col("article").eqNullSafe(F.lag("article").over(w)) | ~F.col("chapter").eqNullSafe(F.lag("chapter").over(w)) | F.lag("chunk_id").over(w).isNull()
+    found = running.islands(rows.withColumn("fresh", fresh), by, order, F.col("fresh"), "instance")
+    last = F.lit(2147483647)
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("page_start", last).alias("p"), "chunk_id", "content")))
+    articles = found.groupBy(*by, "instance").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("whole"))
+    named = articles.withColumn("article_key", F.to_json(F.struct(*by, "instance"), {"ignoreNullFields": "false"}))
+    parts = chunking.fragments(named, "article_key", "whole", chunking.lossless)
+    again = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "content"))), lambda x: x["content"]), "")
+    whole = parts.groupBy("id").agg(again.alias("whole"))
+    key = F.from_json("id", "source_id string, version_id string, section string, instance long")
+    return whole.select(key.alias("k"), F.sha2("whole", 256).alias("whole_hash"), F.length("whole").alias("characters")).select("k.*", "whole_hash", "characters")
+
+
 @query("""SELECT d.document_id, count(c.chunk_id) AS chunks, coalesce(sum(length(c.content)), 0) AS characters FROM policy_documents d
     LEFT JOIN policy_chunks c USING (document_id) WHERE d.effective_from <= DATE '2025-06-30' AND (d.effective_to IS NULL OR d.effective_to > DATE '2025-06-30') GROUP BY ALL""")
 def active_documents(spark, sf):

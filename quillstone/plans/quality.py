@@ -192,6 +192,32 @@ def never_retrieved(spark, sf):
     return wanted.subtract(seen)
 
 
+@query("""SELECT 'canonical' AS key_kind, canonical_chunk_id AS key, count(*) AS copies FROM policy_chunks WHERE canonical_chunk_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'document and content', document_id || ':' || content_hash, count(*) FROM policy_chunks WHERE document_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
+def broken_unique_keys(spark, sf):
+    """Keys that must be unique where they aren't null."""
+    rows = table(spark, sf, "policy_chunks")
+    one = lambda d, kind, key: d.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select(F.lit(kind).alias("key_kind"), "key", "copies")
+    return one(rows.where("canonical_chunk_id IS NOT NULL"), "canonical", F.col("canonical_chunk_id")).unionByName(
+        one(rows.where("document_id IS NOT NULL"), "document and content", F.concat_ws(":", "document_id", "content_hash")))
+
+
+@query("""SELECT g.evaluation_id, list_sort(list(DISTINCT flag)) AS leaks FROM (
+    SELECT g.evaluation_id, unnest(list_filter([CASE WHEN contains(g.query, c.canonical_chunk_id) THEN 'id' END, CASE WHEN contains(lower(g.query), lower(substr(c.content, 1, 80))) THEN 'excerpt' END,
+        CASE WHEN contains(lower(g.query), lower(c.article)) THEN 'heading' END, CASE WHEN contains(lower(c.content), lower(rtrim(g.query, '?'))) THEN 'question' END], lambda x: x IS NOT NULL)) AS flag, g.evaluation_id AS e
+    FROM (SELECT evaluation_id, query, unnest(expected_canonical_chunk_ids) AS canonical_chunk_id FROM gold_queries) g JOIN policy_chunks c USING (canonical_chunk_id)) g GROUP BY ALL""")
+def leaking_questions(spark, sf):
+    """Questions that give their answer away: the id, the beginning or the heading of an expected passage, or a passage that holds the question."""
+    gold = table(spark, sf, "gold_queries").select("evaluation_id", "query", F.explode("expected_canonical_chunk_ids").alias("canonical_chunk_id"))
+    chunks = table(spark, sf, "policy_chunks").select("canonical_chunk_id", "content", "article")
+    q = F.lower("query")
+    flags = F.array_compact(F.array(
+        F.when(F.col("query").contains(F.col("canonical_chunk_id")), "id"), F.when(q.contains(F.lower(F.substring("content", 1, 80))), "excerpt"),
+        F.when(q.contains(F.lower("article")), "heading"), F.when(F.lower("content").contains(F.lower(F.rtrim("query", F.lit("?")))), "question")))
+    found = gold.join(chunks, "canonical_chunk_id").select("evaluation_id", F.explode(flags).alias("flag"))
+    return found.groupBy("evaluation_id").agg(F.sort_array(F.collect_set("flag")).alias("leaks"))
+
+
 # graphs
 
 _TREE = """WITH RECURSIVE paths AS (SELECT DISTINCT source_id || '|' || version_id AS root, heading_path FROM policy_chunks WHERE len(heading_path) > 0),

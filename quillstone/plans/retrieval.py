@@ -64,7 +64,8 @@ def visible_per_scope(spark, sf):
         F.count_if(F.upper("visibility") == "SHARED").alias("shared"), F.count_if(F.upper("visibility") != "SHARED").alias("scoped"))
     opened = access(spark, sf)
     own = opened.join(chunks, "source_id", "left").groupBy("scope").agg(F.coalesce(F.sum("scoped"), F.lit(0)).alias("scoped"))
-    return own.crossJoin(F.broadcast(chunks.agg(F.sum("shared").alias("shared")))).select("scope", (F.col("shared") + F.col("scoped")).alias("visible"), "scoped")
+    shared = chunks.agg(F.sum("shared")).scalar()
+    return own.select("scope", (shared + F.col("scoped")).alias("visible"), "scoped")
 
 
 @query("""SELECT chunk_id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 128 THEN 'dimension'
@@ -196,6 +197,17 @@ def term_statistics(spark, sf):
     return tf.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.col("tf_a") + F.col("tf_b") + F.col("tf_c")).alias("occurrences"))
 
 
+@query(_INDEX + "SELECT term, count(*) AS documents, sum(tf_b + tf_c) AS occurrences FROM idx GROUP BY ALL")
+def refreshed_terms(spark, sf):
+    """Term counts after the newer half of the chunks was indexed again over a stale index of half of their text."""
+    chunks = table(spark, sf, "policy_chunks").select("chunk_id", F.array_join("heading_path", " ").alias("heading"), "content", (F.dayofmonth("created_at") > 15).alias("newer"))
+    newer = F.coalesce("newer", F.lit(False))
+    stale = chunks.withColumn("content", F.when(newer, F.left("content", F.lit(40))).otherwise(F.col("content")))
+    fresh = chunks.where(newer)
+    index = ft.refreshed(ft.term_frequencies(ft.postings(stale, "chunk_id", _FIELDS)), fresh.select(F.col("chunk_id").alias("id")), ft.postings(fresh, "chunk_id", _FIELDS))
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.col("tf_a") + F.col("tf_b") + F.col("tf_c")).alias("occurrences"))
+
+
 @query()
 def fulltext_cover_density(spark, sf):
     """Headings and contents in which two terms of a query stand close together, ranked by cover density."""

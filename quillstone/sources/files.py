@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.json import redacted
+
 _PAGE = r"(?m)^--- PAGE (\d+) ---\s*$"
 
 
@@ -67,6 +69,11 @@ def publish_identical(df: DataFrame, path: str) -> bool:
     return True
 
 
+def append_audit(df: DataFrame, path: str, payload: str) -> None:
+    """Appends rows to an audit log; payloads lose their secrets first, and nothing that is there is ever changed."""
+    df.withColumn(payload, redacted(F.col(payload))).write.mode("append").parquet(path)
+
+
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
     """JSON lines in a fixed order of rows and of columns, over as many files as the range needs."""
     df.select(*sorted(df.columns)).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").json(path)
