@@ -33,6 +33,8 @@ MEASURES = ("characters", "utf8", "utf16", "crlf", "html", "json", "json_utf8")
 #: A length is a limit of its source if at least so many records have it, and so many times as many as have
 #: each of the lengths around it.
 PILE_ROWS, PILE_TIMES, PILE_SPAN = 8, 8.0, 24
+#: Most sources or models whose limits are broadcast; beyond it they are joined by shuffles.
+BROADCAST_ROWS = 10_000
 
 
 def has_content(text: str | None) -> bool:
@@ -157,6 +159,13 @@ def ending(answer: str | None, question: str | None = None) -> tuple[str, list[s
     return ("phrase", plain) if 0 < len(plain) <= 4 else ("cut", [])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Computed once; broadcast if it has few rows, so that a source of very many records is not sent to one task."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def find_truncated(df: DataFrame, id_col: str, text: str, *, source: str, model: str, tokens: str, question: str | None = None) -> DataFrame:
     """``id, source, empty, truncated, ending, at_limit, excess``: one row for each row of ``df``.
 
@@ -187,9 +196,9 @@ def find_truncated(df: DataFrame, id_col: str, text: str, *, source: str, model:
     kinds = sized.mapInArrow(classify, f"id {id_type}, source string, model string, tokens long, length int, "
                              + ", ".join(f"{m} long" for m in MEASURES) + ", ending string, g3 long, g2 long")
 
-    limits = length_limits(df, source, text).groupBy("source").agg(
-        F.collect_set(F.struct("measure", "limit")).alias("limits")).withColumnRenamed("source", "limited")
-    caps = token_limits(df, model, tokens).groupBy("model").agg(F.collect_set("limit").alias("caps")).withColumnRenamed("model", "capped")
+    limits = _small(length_limits(df, source, text).groupBy("source").agg(
+        F.collect_set(F.struct("measure", "limit")).alias("limits")).withColumnRenamed("source", "limited"))
+    caps = _small(token_limits(df, model, tokens).groupBy("model").agg(F.collect_set("limit").alias("caps")).withColumnRenamed("model", "capped"))
     known = kinds.join(limits, kinds.source.eqNullSafe(limits.limited), "left").join(caps, kinds.model.eqNullSafe(caps.capped), "left")
     own = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("limit")) for m in MEASURES))
     on_limit = F.coalesce(F.arrays_overlap("limits", own), F.lit(False))
