@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,28 @@ def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x[good] / length[good, None]
 
 
+def token_hashes(df: DataFrame, id_col: str, token_col: str, size: int = 64) -> DataFrame:
+    """``id, vector``: each token adds 1 or -1 to a bucket, both taken from its SHA-256. A null list of tokens has no row.
+
+    A task hashes each distinct token of a batch once; all tokens of a row are in it, so nothing is shuffled.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
+            words = batch.column(1).flatten().dictionary_encode()
+            digests = [hashlib.sha256(w.encode()).digest() for w in words.dictionary.to_pylist()]
+            bucket = np.array([int.from_bytes(d[:4]) % size for d in digests], np.int64)
+            sign = np.array([1 - 2 * (d[4] % 2) for d in digests], np.float64)
+            at = words.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            sums = np.bincount(row * size + bucket[at], sign[at], minlength=batch.num_rows * size) if len(at) else np.zeros(batch.num_rows * size)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(sums.astype(np.int32)))], ["id", "vector"])
+
+    return df.where(F.col(token_col).isNotNull()).select(id_col, token_col).mapInArrow(run, f"id {id_type}, vector array<int>")
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, block: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` nearest of ``corpus(id, vector)`` to each of ``queries(query_id, vector)``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.functions import text
+from quillstone.functions import text, vectors
 from quillstone.operators.evaluation import top_of_each
 from quillstone.plans.registry import query
 from quillstone.session import table
@@ -221,13 +221,11 @@ def version_gaps(spark, sf):
     SELECT doc_id, count(*) FILTER (weight <> 0) AS buckets, round(sqrt(sum(weight * weight)), 6) AS norm, arg_min(bucket, (-abs(weight), bucket)) AS strongest FROM b GROUP BY ALL""")
 def hashed_embeddings(spark, sf):
     """Token-hash vectors of 64 buckets: how many are filled, their length, the strongest bucket."""
-    token = table(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    hashed = F.sha2("token", 256)
-    number = lambda a, n: F.conv(F.substring(hashed, a, n), 16, 10).cast("long")
-    each = token.select("doc_id", (number(1, 8) % 64).alias("bucket"), F.when(number(9, 2) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("w"))
-    b = each.groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight"))
-    return b.groupBy("doc_id").agg(F.count_if(F.col("weight") != 0).alias("buckets"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"),
-                                   F.min_by("bucket", F.struct(-F.abs("weight"), "bucket")).alias("strongest"))
+    listed = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    filled = vectors.token_hashes(listed, "doc_id", "tokens", 64)
+    by_strength = F.array_min(F.transform("vector", lambda w, i: F.struct((-F.abs(w)).alias("w"), i.cast("long").alias("i"))))
+    return filled.select(F.col("id").alias("doc_id"), F.size(F.filter("vector", lambda w: w != 0)).cast("long").alias("buckets"), F.round(vectors.norm(F.col("vector")), 6).alias("norm"),
+                         by_strength["i"].alias("strongest"))
 
 
 @query("""SELECT doc_id, source, created_at FROM documents ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 20 OFFSET 40""")
