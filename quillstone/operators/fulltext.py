@@ -104,25 +104,86 @@ def search(df: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame,
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cover_density(posted: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, covers, score, rank``: AND matches ranked by how close together all terms stand.
+def cover_density(posted: DataFrame, terms: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
+    """``query_id, id, covers, score, rank``: ``cover_search`` over postings, whose rows are first gathered by document."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    asked = terms.select("term").distinct()
+    here = posted.where("id IS NOT NULL").join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    gathered = here.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "term"))).alias("t"))
+    return _covers(gathered.select("id", F.col("t.term").alias("term"), F.col("t.position").alias("position")), terms, k, block)
+
+
+def cover_search(df: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
+    """``query_id, id, covers, score, rank``: the ``k`` best matches of each query by how close together its terms stand.
 
-    A cover is a shortest stretch of positions that holds every term of the query. It adds (number of terms) / (1 + its
-    length beyond the number of terms). All in windows: for each occurrence the last position of every other term so far.
+    A document must hold all terms of a query; only where no document does, any term is a match. A cover is a shortest stretch
+    of positions that satisfies the query: one with every term, or where any term will do, one occurrence. It adds (number of
+    terms) / (1 + its length beyond the number of terms), so an occurrence alone adds 1. Fields don't weigh differently.
+
+    Positions run on from one field to the next, in the order of ``fields``. As in ``search`` a task scores its documents
+    against a block of queries and keeps ``k`` for each query. Ties go to the smaller id.
     """
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    here = posted.join(F.broadcast(terms) if few else terms, "term")
-    order = Window.partitionBy("query_id", "id").orderBy("position")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    # the start of the shortest stretch that ends here: the smallest of the last positions of all terms
-    seen = F.collect_list(F.struct("term", "position")).over(upto)
-    latest = F.aggregate(seen, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")),
-                         lambda m, x: F.map_concat(F.map_filter(m, lambda t, _: t != x["term"]), F.map_from_arrays(F.array(x["term"]), F.array(x["position"]))))
-    spots = here.withColumn("m", latest).where(F.size("m") == F.col("terms"))
-    starts = spots.withColumn("start", F.array_min(F.map_values("m")))
-    # of the stretches with one start only the first (shortest) is a cover
-    covers = starts.groupBy("query_id", "id", "start").agg(F.min("position").alias("end"), F.first("terms").alias("terms"))
-    scored = covers.groupBy("query_id", "id").agg(F.count("*").alias("covers"), F.round(F.sum(
-        F.col("terms") / (1.0 + (F.col("end") - F.col("start") + 1 - F.col("terms")))), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    every = F.concat(*(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in fields))
+    return _covers(df.select(F.col(id_col).alias("id"), every.alias("term")).where("id IS NOT NULL"), terms, k, block)
+
+
+def _covers(docs: DataFrame, terms: DataFrame, k: int, block: int) -> DataFrame:
+    """``cover_search`` over ``docs(id, term, position)``: arrays in order; without ``position`` it is the place in the array."""
+    kinds = f"query_id {terms.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}"
+    count = terms.select("query_id").distinct().count()
+    parts = []
+    for b in range(max(1, -(-count // block))):
+        own = terms if count <= block else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-count // block))) == b)
+        asked = own.select("query_id", "term").toArrow()
+        query = pc.dictionary_encode(asked["query_id"]).combine_chunks()
+        vocabulary = pc.unique(asked["term"])
+        has = np.zeros((len(query.dictionary), len(vocabulary)), np.float32)
+        has[query.indices.to_numpy(), pc.index_in(asked["term"], vocabulary).to_numpy()] = 1
+        sent = docs.sparkSession.sparkContext.broadcast((query.dictionary, vocabulary, has))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, vocabulary, has = sent.value
+            need, size = has.sum(1), len(vocabulary)
+            for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
+                batch = batch.take(pc.sort_indices(batch.column("id")))
+                n, listed = batch.num_rows, batch.column("term")
+                lengths = listed.value_lengths().to_numpy()
+                row = np.repeat(np.arange(n), lengths)
+                if "position" in batch.schema.names:
+                    at = batch.column("position").flatten().to_numpy()
+                else:
+                    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                term = pc.index_in(listed.flatten(), vocabulary).fill_null(-1).to_numpy()
+                row, at, term = row[term >= 0], at[term >= 0], term[term >= 0]
+                seen = np.bincount(row * size + term, minlength=n * size).reshape(n, size)
+                single = np.rint(seen.astype(np.float32) @ has.T).astype(np.int64)
+                full = (seen > 0).astype(np.float32) @ has.T == need
+                covers, score = np.zeros(full.shape, np.int64), np.zeros(full.shape)
+                span = int(at.max(initial=0)) + 1
+                first = np.searchsorted(row, np.arange(n + 1))
+                for q in np.flatnonzero(full.any(0)):
+                    held = np.flatnonzero(full[:, q])
+                    many = first[held + 1] - first[held]
+                    i = np.repeat(first[held] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    i = i[has[q, term[i]] > 0]
+                    # places grow from document to document, so that a last place in an earlier one lies before this one's first
+                    place, own = row[i] * span + at[i], term[i]
+                    start = place
+                    for t in np.flatnonzero(has[q]):
+                        start = np.minimum(start, np.maximum.accumulate(np.where(own == t, place, -1)))
+                    # of the stretches with one start only the first (shortest) is a cover
+                    cover = (start >= row[i] * span) & np.concatenate(([True], start[1:] != start[:-1]))
+                    d, gain = row[i][cover], need[q] / (1.0 + place[cover] - start[cover] + 1 - need[q])
+                    covers[:, q], score[:, q] = np.bincount(d, minlength=n), np.round(np.bincount(d, gain, n), 6)
+                for every, c, s in ((True, covers, score), (False, single, single.astype(float))):
+                    ranked = np.where(c > 0, -s, np.inf)
+                    top = np.argsort(ranked, axis=0, kind="stable")[:k].T
+                    keep = np.isfinite(np.take_along_axis(ranked.T, top, 1))
+                    q, d = np.repeat(np.arange(len(names)), keep.sum(1)), top[keep]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("id").take(pa.array(d)), pa.array(np.full(len(d), every)),
+                                                      pa.array(c[d, q]), pa.array(s[d, q])], ["query_id", "id", "every", "covers", "score"])
+
+        parts.append(docs.mapInArrow(best, f"{kinds}, every boolean, covers long, score double"))
+    w = Window.partitionBy("query_id")
+    found = reduce(DataFrame.unionByName, parts).withColumn("_e", F.max("every").over(w)).where("every = _e").drop("every", "_e")
+    return found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

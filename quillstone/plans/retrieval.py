@@ -210,9 +210,5 @@ def refreshed_terms(spark, sf):
 
 @query()
 def fulltext_cover_density(spark, sf):
-    """Headings and contents in which two terms of a query stand close together, ranked by cover density."""
-    terms = _terms(spark, sf).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("l"), "term"))), 1, 2).alias("t"))
-    longest = terms.select("query_id", F.explode("t.term").alias("term"), F.size("t").alias("terms"))
-    return ft.cover_density(_index(spark, sf), longest, 10)
-
-
+    """Headings and contents in which all terms of a query stand close together (any of them where no chunk holds all), ranked by cover density."""
+    return ft.cover_search(_chunks(spark, sf), "chunk_id", _FIELDS, _terms(spark, sf), 10)

@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import hashing, text, vectors
 from quillstone.operators import changes, chunking, evaluation, fulltext, graph, parsing, retrieval, running, temporal
+from quillstone.plans import retrieval as retrieval_plans
 from tests.conftest import rows
 
 
@@ -165,6 +167,43 @@ def test_cover_density(spark):
     assert [(r.id, r.covers) for r in got] == [(2, 1), (1, 1)]
 
 
+def brute_covers(docs, terms):
+    """(id, covers, score) of every match, by the definition."""
+    every = {}
+    for i, words in docs.items():
+        at = [(p, w) for p, w in enumerate(words) if w in terms]
+        spans = [(a, b) for a, _ in at for b, _ in at if terms <= set(words[a:b + 1])]
+        least = [(a, b) for a, b in spans if not any(a <= c and d <= b and (a, b) != (c, d) for c, d in spans)]
+        if least:
+            every[i] = (len(least), round(sum(len(terms) / (1 + b - a + 1 - len(terms)) for a, b in least), 6))
+    some = {i: (n, float(n)) for i, words in docs.items() if (n := sum(w in terms for w in words))}
+    return sorted(((i, *c) for i, c in (every or some).items()), key=lambda r: (-r[2], r[0]))
+
+
+def test_covers_hold_all_terms_of_a_query(spark):
+    draw = random.Random(7)
+    docs = {i: draw.choices("abcdefgh", k=draw.randrange(40)) for i in range(60)}
+    asked = {"three": "a b c", "six": "f e d c b a", "one": "h", "none": "a b zzz", "nothing": "zzz"}
+    df = spark.createDataFrame([(i, " ".join(w[:5]), " ".join(w[5:])) for i, w in docs.items()], "id long, h string, t string")
+    terms = fulltext.query_terms(spark.createDataFrame(list(asked.items()), "q string, t string"), "q", "t")
+    want = sorted((q, *r, n) for q, t in asked.items() for n, r in enumerate(brute_covers(docs, set(t.split()))[:12], 1))
+    columns = ["query_id", "id", "covers", "score", "rank"]
+    fields = {"h": "B", "t": "C"}
+    for got in (fulltext.cover_search(df, "id", fields, terms, 12), fulltext.cover_search(df, "id", fields, terms, 12, block=2), fulltext.cover_density(fulltext.postings(df, "id", fields), terms, 12)):
+        assert sorted(tuple(r) for r in got.select(columns).collect()) == want
+
+
+def test_cover_density_query_uses_every_term(spark):
+    sf = "/root/testdata/sf0.001"
+    chunks = {r.chunk_id: r.w for r in retrieval_plans._chunks(spark, sf).select("chunk_id", text.tokens(F.concat_ws(" ", *retrieval_plans._FIELDS)).alias("w")).collect()}
+    asked = {}
+    for r in retrieval_plans._terms(spark, sf).collect():
+        asked.setdefault(r.query_id, set()).add(r.term)
+    want = sorted((q, *r, n) for q, t in asked.items() for n, r in enumerate(brute_covers(chunks, t)[:10], 1))
+    got = retrieval_plans.fulltext_cover_density(spark, sf).select("query_id", "id", "covers", "score", "rank").collect()
+    assert sorted(tuple(r) for r in got) == want and max(map(len, asked.values())) > 2
+
+
 def test_fulltext_modes(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "id long, t string")
     terms = fulltext.query_terms(spark.createDataFrame([("q", "Alpha BETA alpha"), ("e", "?"), ("r", "beta")], "q string, t string"), "q", "t")
