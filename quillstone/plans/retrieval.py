@@ -208,7 +208,62 @@ def refreshed_terms(spark, sf):
     return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.col("tf_a") + F.col("tf_b") + F.col("tf_c")).alias("occurrences"))
 
 
+_TITLED_INDEX = """
+    WITH titled AS (SELECT c.chunk_id, d.title, array_to_string(c.heading_path, ' ') AS heading, c.content FROM policy_chunks c LEFT JOIN policy_documents d ON d.document_id = c.document_id),
+    posted AS (
+        SELECT chunk_id AS id, 'A' AS weight, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) AS term FROM titled
+        UNION ALL SELECT chunk_id, 'B', unnest(regexp_extract_all(lower(heading), '[\\p{L}\\p{N}]+')) FROM titled
+        UNION ALL SELECT chunk_id, 'C', unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) FROM titled),
+    idx AS (SELECT id, term, count(*) FILTER (weight = 'A') AS tf_a, count(*) FILTER (weight = 'B') AS tf_b, count(*) FILTER (weight = 'C') AS tf_c FROM posted GROUP BY ALL),
+    terms AS (SELECT evaluation_id AS query_id, unnest(t) AS term, len(t) AS terms FROM (
+        SELECT evaluation_id, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS t FROM gold_queries
+        WHERE regexp_extract(evaluation_id, '(\\d+)$', 1)::BIGINT % 100 = 0)),
+    found AS (SELECT query_id, id, count(*) AS matched, any_value(terms) AS terms, round(sum(1.0 * CASE WHEN tf_a > 0 THEN 1 + ln(tf_a) ELSE 0 END
+        + 0.4 * CASE WHEN tf_b > 0 THEN 1 + ln(tf_b) ELSE 0 END + 0.2 * CASE WHEN tf_c > 0 THEN 1 + ln(tf_c) ELSE 0 END), 6) AS score
+        FROM idx JOIN terms USING (term) GROUP BY ALL)
+"""
+
+
+_TITLED = {"title": "A", **_FIELDS}
+
+
+def _titled(spark, sf):
+    """Chunks with the title of their document, if it is known."""
+    chunks = table(spark, sf, "policy_chunks").select("chunk_id", "document_id", F.array_join("heading_path", " ").alias("heading"), "content")
+    return chunks.join(table(spark, sf, "policy_documents").select("document_id", "title"), "document_id", "left")
+
+
+@query(_TITLED_INDEX + "SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found QUALIFY rank <= 10")
+def fulltext_titled_any(spark, sf):
+    """``fulltext_any`` over titles too, the field of greatest weight."""
+    return ft.search(_titled(spark, sf), "chunk_id", _TITLED, _terms(spark, sf), "or", 10)
+
+
+@query(_TITLED_INDEX + "SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found WHERE matched = terms QUALIFY rank <= 10")
+def fulltext_titled_all(spark, sf):
+    """``fulltext_all`` over titles too."""
+    return ft.search(_titled(spark, sf), "chunk_id", _TITLED, _terms(spark, sf), "and", 10)
+
+
+@query(_TITLED_INDEX + "SELECT term, count(*) AS documents, sum(tf_a) AS in_titles, sum(tf_a + tf_b + tf_c) AS occurrences FROM idx GROUP BY ALL")
+def titled_term_statistics(spark, sf):
+    """``term_statistics`` over titles too."""
+    tf = ft.term_frequencies(ft.postings(_titled(spark, sf), "chunk_id", _TITLED))
+    return tf.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf_a").alias("in_titles"), F.sum(F.col("tf_a") + F.col("tf_b") + F.col("tf_c")).alias("occurrences"))
+
+
+@query(_TITLED_INDEX + "SELECT term, count(*) AS documents, sum(tf_a) AS in_titles, sum(tf_a + tf_b + tf_c) AS occurrences FROM idx GROUP BY ALL")
+def retitled_terms(spark, sf):
+    """Term counts after some documents got longer titles: all chunks of such a document are indexed again."""
+    chunks = _titled(spark, sf)
+    retitled = F.coalesce(F.length("title") > 20, F.lit(False))
+    stale = chunks.withColumn("title", F.when(retitled, F.left("title", F.lit(20))).otherwise(F.col("title")))
+    fresh = chunks.where(retitled)
+    index = ft.refreshed(ft.term_frequencies(ft.postings(stale, "chunk_id", _TITLED)), fresh.select(F.col("chunk_id").alias("id")), ft.postings(fresh, "chunk_id", _TITLED))
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf_a").alias("in_titles"), F.sum(F.col("tf_a") + F.col("tf_b") + F.col("tf_c")).alias("occurrences"))
+
+
 @query()
 def fulltext_cover_density(spark, sf):
-    """Headings and contents in which all terms of a query stand close together (any of them where no chunk holds all), ranked by cover density."""
-    return ft.cover_search(_chunks(spark, sf), "chunk_id", _FIELDS, _terms(spark, sf), 10)
+    """Titles, headings and contents in which all terms of a query stand close together (any of them where no chunk holds all), ranked by cover density."""
+    return ft.cover_search(_titled(spark, sf), "chunk_id", _TITLED, _terms(spark, sf), 10)

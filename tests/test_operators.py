@@ -195,7 +195,7 @@ def test_covers_hold_all_terms_of_a_query(spark):
 
 def test_cover_density_query_uses_every_term(spark):
     sf = "/root/testdata/sf0.001"
-    chunks = {r.chunk_id: r.w for r in retrieval_plans._chunks(spark, sf).select("chunk_id", text.tokens(F.concat_ws(" ", *retrieval_plans._FIELDS)).alias("w")).collect()}
+    chunks = {r.chunk_id: r.w for r in retrieval_plans._titled(spark, sf).select("chunk_id", text.tokens(F.concat_ws(" ", *retrieval_plans._TITLED)).alias("w")).collect()}
     asked = {}
     for r in retrieval_plans._terms(spark, sf).collect():
         asked.setdefault(r.query_id, set()).add(r.term)
@@ -204,6 +204,16 @@ def test_cover_density_query_uses_every_term(spark):
     assert sorted(tuple(r) for r in got) == want and max(map(len, asked.values())) > 2
 
 
+def test_titles_are_indexed(spark):
+    sf = "/root/testdata/sf0.001"
+    assert "title" in retrieval_plans._TITLED
+    title = spark.read.parquet(f"{sf}/policy_documents.parquet").select(F.explode(text.tokens(F.col("title"))).alias("term")).distinct()
+    counts = retrieval_plans.titled_term_statistics(spark, sf).where("in_titles > 0")
+    assert counts.count() > 0 and counts.join(title, "term", "left_anti").count() == 0
+    plain = {(r.query_id, r.id): r.score for r in retrieval_plans.fulltext_any(spark, sf).collect()}
+    assert any(r.score > plain.get((r.query_id, r.id), math.inf) for r in retrieval_plans.fulltext_titled_any(spark, sf).collect())
+
+
 def test_fulltext_modes(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "id long, t string")
     terms = fulltext.query_terms(spark.createDataFrame([("q", "Alpha BETA alpha"), ("e", "?"), ("r", "beta")], "q string, t string"), "q", "t")
