@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import text, vectors
+from quillstone.functions.hashing import joined_hash
 from quillstone.operators.evaluation import top_of_each
 from quillstone.plans.registry import query
 from quillstone.session import table
@@ -170,9 +171,8 @@ def phrase_scan(spark, sf):
 def evidence_prompts(spark, sf):
     """The passages of a query as one numbered text, by its hash."""
     line = F.concat(F.lit("[E"), F.col("rank"), F.lit("] "), F.coalesce("document_title", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "evidence_id", line.alias("line"))))
-    return table(spark, sf, "evidence").where("rank IS NOT NULL").groupBy("evaluation_id").agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("prompt_hash"), F.count("*").alias("passages"))
+    rows = table(spark, sf, "evidence").where("rank IS NOT NULL").select("evaluation_id", "rank", "evidence_id", line.alias("line"))
+    return joined_hash(rows, "evaluation_id", ["rank", "evidence_id"], "line").select("evaluation_id", F.col("hash").alias("prompt_hash"), F.col("n").alias("passages"))
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\d{2}/\\d{2}/\\d{4})', 1)) AS said FROM documents)

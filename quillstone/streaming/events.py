@@ -6,8 +6,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.session import ensure_checkpoint_dir
@@ -111,14 +114,48 @@ def latest_state(states: DataFrame, key: str) -> DataFrame:
 
 
 def replayed(df: DataFrame, key: str, kind: str, order: str, transitions: dict = TRANSITIONS) -> DataFrame:
-    """The batch twin of ``state_machine``, without Python: a transition table folded over each key's ordered events."""
-    table = F.create_map(*(F.lit(x) for pair, to in transitions.items() for x in ("|".join(pair), to)))
-    listed = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, kind))), lambda x: x[kind]).alias("k"))
+    """The batch twin of ``state_machine``: a transition table folded over each key's ordered events.
+
+    Rows are range-partitioned by key and order, so that a key of any size is spread over tasks. A task folds the stretch of a
+    key that it holds, row by row, from every state; then the few stretches of a key are put together.
+    """
+    states = sorted({"NEW", *(a for a, _ in transitions), *transitions.values()})
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first, ends, moves, n = None, None, list(states), [0] * len(states), 0
+
+        def row(column: str):
+            return {key: [last], "first": [first], "ends": [list(ends)], "moves": [list(moves)], "n": [n]}[column]
+
+        for batch in batches:
+            done = {c: [] for c in schema.names}
+            for k, o, e in zip(*(batch.column(c).to_pylist() for c in (key, order, kind))):
+                if not n or k != last:
+                    if n:
+                        for c in done:
+                            done[c] += row(c)
+                    last, first, ends, moves, n = k, o, list(states), [0] * len(states), 0
+                n += 1
+                for i, state in enumerate(ends):
+                    to = transitions.get((state, e))
+                    if to:
+                        ends[i] = to
+                        moves[i] += 1
+            yield pa.RecordBatch.from_pydict(done, schema)
+        if n:
+            yield pa.RecordBatch.from_pydict({c: row(c) for c in schema.names}, schema)
+
+    types = df.schema
+    out = T.StructType([T.StructField(key, types[key].dataType), T.StructField("first", types[order].dataType), T.StructField("ends", T.ArrayType(T.StringType())),
+                        T.StructField("moves", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
+    schema = to_arrow_schema(out)
+    stretches = df.select(key, order, kind).repartitionByRange(key, order).sortWithinPartitions(key, order, kind).mapInArrow(step, out)
+    listed = stretches.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", "ends", "moves", "n"))).alias("k"))
     start = F.struct(F.lit("NEW").alias("state"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("conflicts"))
 
-    def step(s, kind):
-        to = F.try_element_at(table, F.concat_ws("|", s["state"], kind))
-        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["moves"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("moves"),
-                        (s["conflicts"] + F.when(to.isNull(), 1).otherwise(0)).alias("conflicts"))
+    def joined(s, x):
+        i = F.array_position(F.array(*map(F.lit, states)), s["state"]).cast("int")
+        moved = F.element_at(x["moves"], i)
+        return F.struct(F.element_at(x["ends"], i).alias("state"), (s["moves"] + moved).alias("moves"), (s["conflicts"] + x["n"] - moved).alias("conflicts"))
 
-    return listed.select(key, F.aggregate("k", start, step).alias("s")).select(key, "s.state", "s.moves", "s.conflicts")
+    return listed.select(key, F.aggregate("k", start, joined).alias("s")).select(key, "s.state", "s.moves", "s.conflicts")

@@ -1,3 +1,8 @@
+import hashlib
+import random
+
+from quillstone.functions import hashing
+from quillstone.plans import records
 from quillstone.streaming import events as st
 from tests.conftest import rows
 
@@ -41,6 +46,24 @@ def test_state_machine_and_its_batch_twin(spark, tmp_path):
     assert rows(streamed) == rows(batch) == plain
 
 
+def test_a_large_user_is_spread_over_tasks(spark):
+    draw = random.Random(3)
+    kinds = ["signup", "view", "error", "purchase", "click", "nothing", None]
+    data = [(1 if i % 10 else draw.choice([None, 2, 3]), i, draw.choice(kinds)) for i in range(5000)]
+    batch = st.replayed(spark.createDataFrame(data, "user_id long, event_id long, event_type string").repartition(5), "user_id", "event_type", "event_id")
+    assert rows(batch) == sorted(((u, *st.fold("NEW", [k for w, _, k in data if w == u])) for u in (None, 1, 2, 3)), key=repr)
+    text = batch._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(event_id" not in text and "RepartitionByExpression [user_id" in text
+
+
+def test_texts_are_hashed_as_they_pass(spark):
+    data = [(k, r, f"é{r}\n" * (r % 3)) for k in ("a", None, "b") for r in range(300)]
+    got = hashing.joined_hash(spark.createDataFrame(data, "k string, r int, t string").repartition(3), "k", ["r"], "t")
+    want = [(k, hashlib.sha256("\n".join(t for w, _, t in data if w == k).encode()).hexdigest(), 300) for k in ("a", None, "b")]
+    assert rows(got) == sorted(want, key=repr)
+    assert "collect_list" not in records.evidence_prompts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_replays_have_no_effect(spark, tmp_path):
     path = str(tmp_path / "log.parquet")
     write(spark, path, [event(1, 0), event(1, 1), event(2, 2)])
