@@ -35,7 +35,10 @@ def layers(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
-    """``node``: nodes that remain after leaves and roots have been peeled off again and again: those on or between cycles."""
+    """``node``: nodes that remain after leaves and roots have been peeled off again and again: those on or between cycles.
+
+    A graph that still loses nodes after ``most`` rounds raises an error.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     rest = edges.select("node", "parent").distinct().checkpoint()
     count = rest.count()
@@ -46,6 +49,8 @@ def on_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
         if left in (0, count):
             break
         count = left
+    else:
+        raise ValueError(f"nodes are still peeled off after {most} rounds")
     return rest.select("node").distinct()
 
 
@@ -53,7 +58,7 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """``node, component``: connected components of ``edges(a, b)``, named by their smallest node.
 
     Large-star and small-star rounds: nodes of a component are linked to ever smaller ones until all hang on the smallest.
-    Each round is a checkpoint. Neighbourhoods are reduced by minima, never collected, so that a node with very many
+    Each round is a checkpoint; if rounds run out before nothing changes, an error is raised. Neighbourhoods are reduced by minima, never collected, so that a node with very many
     neighbours costs no task more than its share.
     """
     ensure_checkpoint_dir(edges.sparkSession)
@@ -76,5 +81,7 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise ValueError(f"components still change after {most} rounds")
     own = both.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -167,6 +167,16 @@ def test_cover_density(spark):
     assert [(r.id, r.covers) for r in got] == [(2, 1), (1, 1)]
 
 
+def test_unfinished_rounds_are_errors(spark):
+    links = [(i, i + 1) for i in range(12)]
+    chain = spark.createDataFrame(links, "a long, b long")
+    with pytest.raises(ValueError):
+        graph.components(chain, most=1)
+    with pytest.raises(ValueError):
+        graph.on_cycles(chain.toDF("node", "parent"), most=2)
+    assert graph.on_cycles(chain.toDF("node", "parent")).count() == 0
+
+
 def brute_covers(docs, terms):
     """(id, covers, score) of every match, by the definition."""
     every = {}
