@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quillstone.llm.garbled import find_garbled
 from quillstone.llm.neighbours import nearest, neighbour_pairs
 from quillstone.llm.near_duplicates import expand_pairs, link_counts, near_duplicates
-from quillstone.llm.pair_defects import find_defects, one_type
+from quillstone.llm.pair_defects import find_defects, labels_of, one_type
 from quillstone.llm.packing import fill_containers, fill_report
 from quillstone.llm.tokenizer import count_tokens, encode_documents
 from quillstone.llm.topn import top_items
-from quillstone.llm.truncation import find_truncated, length_limits, truncation_by_source
+from quillstone.llm.truncation import find_truncated, hidden_limits, truncation_by_source
 from quillstone.session import table
 
 
@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return find_defects(table(spark, sf, "rag_answers"), "trace_id", **_PAIR).withColumnRenamed("id", "trace_id")
+    return labels_of(find_defects(table(spark, sf, "rag_answers"), "trace_id", **_PAIR)).withColumnRenamed("id", "trace_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p2_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return length_limits(table(spark, sf, "rag_answers"), "source", "answer")
+    return hidden_limits(table(spark, sf, "rag_answers"), "source", "answer")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
