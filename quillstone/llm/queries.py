@@ -73,6 +73,11 @@ def p5_links(spark: SparkSession, sf: str) -> DataFrame:
     return link_counts(*found).withColumnRenamed("id", "evidence_id")
 
 
+def p5_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf, "evidence"), "evidence_id", "content", size=1, threshold=0.8, weighted=True)
+    return link_counts(*found).withColumnRenamed("id", "evidence_id")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "doc_id", "text")
 

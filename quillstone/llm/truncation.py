@@ -90,8 +90,11 @@ def _words(text: str) -> list[str]:
     return (_TOKEN_HAN if _HAN.search(text) else _TOKEN).findall(text)
 
 
+_JOIN = "\x1f"
+
+
 def _gram(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(words)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(_JOIN.join(words)) - (1 << 63)
 
 
 def ending(answer: str | None, question: str | None = None) -> tuple[str, list[str]]:
@@ -138,7 +141,7 @@ def read_texts(df: DataFrame, columns: dict[str, str | None], also: Callable[[di
     picked = df.select(*(F.lit(None).cast("string").alias(k) if c is None else F.col(c).cast("long").alias(k) if k == "tokens" else F.col(c).alias(k)
                          for k, c in columns.items()))
     kept = ", ".join(f"{k} {picked.schema[k].dataType.simpleString()}" for k in ("id", "source", "model", "tokens"))
-    every = f"{kept}, {', '.join(f'{m} int' for m in MEASURES)}, h long, ending string, g3 long, g2 long, g1 long, word string" + (f", {schema}" if schema else "")
+    every = f"{kept}, {', '.join(f'{m} int' for m in MEASURES)}, h long, ending string, g3 long, g2 long, g1 long, words string" + (f", {schema}" if schema else "")
     names = [part.split()[0] for part in every.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,7 @@ def read_texts(df: DataFrame, columns: dict[str, str | None], also: Callable[[di
                 sizes.append(measures(text) if text else (None,) * len(MEASURES))
                 hashes.append(_gram([text]) if text else None)
                 kind, last = ending(text, question)
-                ends.append((kind, _gram(last[-3:]) if len(last) > 2 else None, _gram(last[-2:]) if len(last) > 1 else None, _gram(last[-1:]) if last else None, last[-1] if last else None))
+                ends.append((kind, _gram(last[-3:]) if len(last) > 2 else None, _gram(last[-2:]) if len(last) > 1 else None, _gram(last[-1:]) if last else None, _JOIN.join(last[-2:]) if last else None))
             read["ending"] = [e[0] for e in ends]
             by_measure = zip(*sizes) if sizes else ((),) * len(MEASURES)
             parts = zip(*ends) if ends else ((),) * 5
@@ -190,28 +193,29 @@ def _pile_ups(counts: DataFrame, by: list[str]) -> DataFrame:
         (F.col("limit") >= LEAST_LENGTH) & (r >= PILE_TIMES * u) & (r * F.log(r / u) - (r - u) >= PILE_RATIO)).withColumn("prior", 1 - u / r).drop("_u")
 
 
-def ending_statistics(df: DataFrame, text: str, words: frozenset[str] | None) -> DataFrame:
+def ending_statistics(df: DataFrame, text: str, asked: list[str] | None) -> DataFrame:
     """``gram, ends, goes_on``: how often one, two or three words in a row close a sentence or line, or do not.
 
-    Counted over whole texts except their very ends, for grams whose last word is in ``words`` (None: for all); each task
-    sums its batch before the one shuffle.
+    Counted over whole texts except their very ends, for the grams that end in one of the ``asked`` last words (joined pairs;
+    None: for all); each task sums its batch before the one shuffle.
     """
-    asked = df.sparkSession.sparkContext.broadcast(words)
+    wanted = df.sparkSession.sparkContext.broadcast(None if asked is None else (frozenset(asked), frozenset(a.split(_JOIN)[-1] for a in asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = asked.value
+        pairs, lasts = wanted.value or (None, None)
         for batch in batches:
             ends, goes_on = Counter(), Counter()
             for t in batch.column(0).to_pylist():
                 w = _words(t)
                 for i in range(len(w) - 1):
-                    if (wanted is None or w[i] in wanted) and w[i][0].isalnum():
+                    last = w[i]
+                    if lasts is None and last[0].isalnum() or lasts is not None and last in lasts:
                         to = ends if w[i + 1] in _ENDS else goes_on
-                        to[w[i]] += 1
-                        if i and w[i - 1][0].isalnum():
-                            to["\x1f".join(w[i - 1 : i + 1])] += 1
+                        to[last] += 1
+                        if i and w[i - 1][0].isalnum() and (pairs is None or w[i - 1] + _JOIN + last in pairs):
+                            to[w[i - 1] + _JOIN + last] += 1
                             if i > 1 and w[i - 2][0].isalnum():
-                                to["\x1f".join(w[i - 2 : i + 1])] += 1
+                                to[_JOIN.join(w[i - 2 : i + 1])] += 1
             keys = list({**ends, **goes_on})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_gram([k]) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()),
@@ -279,8 +283,8 @@ def judge(df: DataFrame, text: str, texts: DataFrame, limits: bool = True) -> Da
 
     unsettled = F.col("ending").isin("list", "number", "phrase")
     judged = F.col("ending").isin(*KINDS)
-    found = texts.where(unsettled & F.col("word").isNotNull()).select("word").distinct().limit(BROADCAST_WORDS + 1).toArrow()["word"].to_pylist()
-    grams = ending_statistics(df, text, frozenset(found) if len(found) <= BROADCAST_WORDS else None)
+    found = texts.where(unsettled & F.col("words").isNotNull()).select("words").distinct().limit(BROADCAST_WORDS + 1).toArrow()["words"].to_pylist()
+    grams = ending_statistics(df, text, found if len(found) <= BROADCAST_WORDS else None)
     if len(found) > BROADCAST_WORDS:  # the grams that are asked for, by a join
         asked = texts.where(unsettled).select(F.explode(F.array("g3", "g2", "g1")).alias("gram")).distinct()
         grams = grams.join(asked, "gram", "left_semi")
@@ -294,7 +298,7 @@ def judge(df: DataFrame, text: str, texts: DataFrame, limits: bool = True) -> Da
     share = (e3 + 2 * of_two) / (e3 + o3 + 2)
     level = F.when(F.col("seen"), 1 + sum((share >= F.lit(x)).cast("int") for x in SHARES)).otherwise(0)
     known = known.join(third, "g3", "left").join(second, "g2", "left").join(first, "g1", "left").withColumn(
-        "share", F.when(unsettled, level).otherwise(0)).drop("eg3", "og3", "eg2", "og2", "g3", "g2", "g1", "seen", "word", "h")
+        "share", F.when(unsettled, level).otherwise(0)).drop("eg3", "og3", "eg2", "og2", "g3", "g2", "g1", "seen", "words", "h")
 
     # off all limits the prior is that of the source: the share of torn endings and prose among the endings to be judged
     known = known.withColumn("lies", F.when(F.col("at_limit") > 0, "limit").when(F.col("excess"), "excess").otherwise("off")) if limits else known.withColumn("lies", F.lit("off"))

@@ -124,6 +124,41 @@ def test_pairs_against_brute_force(spark):
     assert members.count() == links.count() == 0
 
 
+def test_variants_of_one_text_are_never_paired_with_each_other(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(1500):  # each differs from the template by one word, so every two are linked
+        own = words[:]
+        own[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join(words[: 60 - k] + [f"y{k}{j}" for j in range(k)]) for k in (4, 8, 12)] + [texts[0]] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    asked = []
+    near = nd._near
+    monkeypatch.setattr(nd, "_near", lambda *a: asked.append(near(*a)) or asked[-1])
+    members, links = nd.near_duplicates(df, "id", "content", size=1)
+    assert members.select("ball_id").distinct().count() <= 8
+    assert sum(p.count() for p in asked) < 100_000  # in all bands, against more than thirty million
+    sets = [nd.shingles(t, 1) for t in texts]
+    counts = {r.id: r.links for r in nd.link_counts(members, links).collect()}
+    for i in (0, 7, 1499, 1500, 1501, 1502, 1503):
+        assert counts[i] == sum(i != j and jaccard(sets[i], s) >= 0.8 - 1e-12 for j, s in enumerate(sets))
+    assert nd.expand_pairs(members, links).count() == sum(counts.values()) // 2
+
+
+def test_weighted_pairs_against_brute_force(spark):
+    texts = passages(60)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    members, links = nd.near_duplicates(df, "id", "content", size=1, threshold=0.7, weighted=True)
+    counts = {i: nd.counted_shingles(t, 1) for i, t in enumerate(texts)}
+    exact = lambda a, b: sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+    kept = sorted(i for i, c in counts.items() if c)
+    true = {(a, b) for a, b in itertools.combinations(kept, 2) if counts[a] == counts[b] or exact(counts[a], counts[b]) >= 0.7 - 1e-9}
+    found = {tuple(r) for r in nd.expand_pairs(members, links).collect()}
+    assert found <= true and len(found) >= 0.98 * len(true)
+
+
 def test_shingles_of_five():
     assert nd.shingles("a b c d e f", 5) == {"a b c d e", "b c d e f"} and nd.shingles("A b", 5) == {"a b"} and nd.shingles(" … ", 5) == set()
 
@@ -163,6 +198,41 @@ def test_sound_texts(text):
     assert garbled.cost(text) == 0 and garbled.repair(text)[2] == text
 
 
+OTHERS = {"ru": "Привет, мир! Договор займа подписан вчера.", "el": "Καλημέρα κόσμε, η σύμβαση υπογράφηκε.", "ar": "مرحبا بالعالم، تم توقيع العقد أمس.",
+          "pl": "Zażółć gęślą jaźń, umowa została podpisana.", "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy.", "de": "Die Größe der Fläche überprüfte Jürgen für Käufer.",
+          "ja": "契約書に署名しました。こんにちは世界", "ko": "계약서에 서명했습니다. 안녕하세요", "vi": ORIGINALS[0], "fr": ORIGINALS[1], "zh": ORIGINALS[3]}
+PAGES = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "mac_roman", "cp437", "cp850", "koi8_r", "cp932", "gbk", "big5", "cp949")
+
+
+@pytest.mark.parametrize("language", OTHERS)
+def test_other_languages_and_pages(language):
+    """Restored exactly, or not called restored: a wrong text never has 0 remaining."""
+    text, found = OTHERS[language], 0
+    assert garbled.cost(text) == 0
+    for page in PAGES:
+        try:
+            bad = text.encode().decode(page)
+        except UnicodeDecodeError:
+            if not page.startswith("cp125"):
+                continue
+            bad = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode())
+        before, _, after, left = garbled.repair(bad)
+        assert before and (after == text or left), (page, bad, after, left)
+        found += after == text
+    assert found >= 10
+
+
+@pytest.mark.parametrize("language, page", [("ru", "cp1251"), ("el", "cp1253"), ("ar", "cp1256"), ("pl", "cp1250"), ("cs", "cp1250"), ("ja", "cp932"), ("ko", "euc_kr"), ("zh", "gbk")])
+def test_stored_in_a_page(language, page):
+    _, _, after, left = garbled.repair(OTHERS[language].encode(page).decode("latin-1"))
+    assert after == OTHERS[language] or left
+
+
+def test_a_guess_remains():
+    before, _, after, left = garbled.repair("Ã©tÃ© dÃ©jÃ  passÃ©")
+    assert before and after == "été déjà passé" and left == 1
+
+
 def test_vietnamese_page_read_as_western():
     bad = "Đơn vị kinh doanh phải bảo đảm".replace("Đ", "Ð").replace("ơ", "õ").replace("ị", "iò").replace("ả", "aÒ").replace("đ", "ð")
     before, layers, after, left = garbled.repair(bad)
