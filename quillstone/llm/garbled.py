@@ -55,8 +55,8 @@ _OPEN, _CLOSE = "\u201c\u201e\"\u00ab\u2018'`(\u300c\u300e", "\u201d\u201c\"\u00
 _QUOTED = re.compile(f"(?<=[{re.escape(_OPEN)}])[ \u00a0\u202f]?[^\x00-\x7f]{{1,12}}?[ \u00a0\u202f]?(?=[{re.escape(_CLOSE)}])")
 #: Characters of the Chinese page in common use lie in these rows of it; of a run at least so many must.
 _COMMON_ROWS, _COMMON = (0xB0, 0xD7), 0.7
-#: The other eastern page, its rows of syllables, and how many characters of either a text must have.
-KOREAN, _SYLLABLE_ROWS, LEAST_EAST = "euc_kr", (0xB0, 0xC8), 6
+#: The other eastern page, its rows of syllables, and how many characters of either or of that one a text must have.
+KOREAN, _SYLLABLE_ROWS, LEAST_EAST, LEAST_KOREAN = "euc_kr", (0xB0, 0xC8), 4, 8
 
 
 @lru_cache
@@ -131,17 +131,21 @@ _VIETNAMESE_LETTERS = re.compile("[\u0103\u0111\u01a1\u01b0\u1ea0-\u1ef9]", re.I
 #: What a line of UTF-8 read as one of the pages must show: a lead and a tail of a single-byte page, or two ideographs or kana.
 _LINE_SIGNS = "|".join(_class(_chars(p, 0xC2, 0xEF)) + _class(_chars(p, 0x80, 0xBF)) for p in _RARE) + "|[\u4e00-\u9fff\uff61-\uff9f]{2}|[\uac00-\ud7a3]"
 _LINEWISE = re.compile(_LINE_SIGNS)
-_RUN = re.compile(_CHINESE_RUN)
+_RUN, _SHORT_RUN = re.compile(_CHINESE_RUN), re.compile("[\u00a1-\u00fe]{2,}")
 _HAN = re.compile("[\u4e00-\u9fff\uac00-\ud7a3\u3000-\u303f\uff00-\uffef]+")
 
 
+def _syllables(rows: list[int]) -> bool:
+    return all(_SYLLABLE_ROWS[0] <= b <= _SYLLABLE_ROWS[1] for b in rows)
+
+
 def _eastern(text: str) -> str | None:
     """The eastern page in which a text or parts of it were stored; None without enough characters that speak for one."""
-    runs = [m[0].encode("latin-1") for m in _RUN.finditer(text) if not _mostly_utf8(m[0])]
-    rows = [b for raw in runs for b in raw[: len(raw) // 2 * 2 : 2]]
-    if len(rows) < LEAST_EAST:
+    runs = [m[0].encode("latin-1") for m in _SHORT_RUN.finditer(text) if len(m[0]) % 2 == 0 and not _mostly_utf8(m[0])]
+    rows = [b for raw in runs for b in raw[::2]]
+    if sum(len(raw) // 2 for raw in runs if len(raw) >= 4) < LEAST_EAST:
         return None
-    if all(_SYLLABLE_ROWS[0] <= b <= _SYLLABLE_ROWS[1] for b in rows):
+    if len(rows) >= LEAST_KOREAN and _syllables(rows):
         return KOREAN
     letters = [b for b in rows if b >= _COMMON_ROWS[0]]  # rows below hold signs
     return CHINESE if sum(b <= _COMMON_ROWS[1] for b in letters) >= _COMMON * len(letters) else None
@@ -179,12 +183,26 @@ def _line(line: str, page: str) -> str | None:
     except (UnicodeError, KeyError):
         return None
     own = {script_of(c) or ("here" if PLAUSIBLE.match(c) else "none") for c in text if c > "\x7f" and unicodedata.category(c)[0] == "L"}
-    return text if own and "none" not in own and len(own - {"here", "latin"} - ({"kana", "han"} if "kana" in own else set())) <= 1 else None
+    others = own - {"here", "latin"} - ({"kana", "han"} if "kana" in own else set())
+    if not own or "none" in own or len(others) > 1:
+        return None
+    for script in others:  # its letters stand in words, not one by one between letters of others
+        letters = [script_of(c) == script for c in text]
+        if sum(letters) < 2 * sum(b and not a for a, b in zip([False, *letters], letters)):
+            return None
+    return text
 
 
 def _several(text: str, encoding: str) -> frozenset[str]:
-    """The scripts of which a text has several letters under ``encoding``; of others than Latin and ideographs the most frequent one."""
-    counts = Counter(d[1] for m in _PATTERN[encoding].finditer(text) if (d := _decoded(encoding, m[0])) and d[1])
+    """The scripts of which a text has several letters under ``encoding``, if that reads most of what is beyond ASCII; of others than Latin and ideographs the most frequent one."""
+    counts, covered = Counter(), 0
+    for m in _PATTERN[encoding].finditer(text):
+        if found := _decoded(encoding, m[0]):
+            covered += len(m[0])
+            if found[1]:
+                counts[found[1]] += 1
+    if not counts or 2 * covered < sum(c > "\x7f" for c in text):  # a text in the script would be garbled in most of its letters
+        return frozenset()
     found = {script for script in ("latin", "han") if counts.pop(script, 0) >= SEVERAL_LATIN}
     if counts and max(counts.values()) >= SEVERAL:
         found.add(max(counts, key=counts.get))
@@ -246,7 +264,10 @@ def _undo(text: str, encoding: str, whole: bool = False) -> tuple[str, int]:
                     parts[i] = new
         return "".join(parts), guesses
     if encoding in (CHINESE, KOREAN):  # short runs beside long ones are of the same page
-        return re.sub("[\u00a1-\u00fe]{2,}", lambda m: _stored(m[0], encoding) or m[0], text) if _eastern(text) == encoding else text, 0
+        if _eastern(text) != encoding:
+            return text, 0
+        rows = [b for m in _SHORT_RUN.finditer(text) for b in m[0].encode("latin-1")[::2]]
+        return _SHORT_RUN.sub(lambda m: _stored(m[0], encoding) or m[0], text), int(encoding == CHINESE and _syllables(rows))  # few of them may be either
     scripts = _several(text, encoding)
     text = _PATTERN[encoding].sub(lambda m: _meant(m, encoding, scripts) or m[0], text)
     if encoding != "western":

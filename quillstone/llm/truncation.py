@@ -33,10 +33,10 @@ _NOTHING = regex.compile(
     r"(?:answer|response|output|trả lời|câu trả lời|đáp án|réponse|回答|答案|none|null|nil|nan|n/a|na|undefined|"
     r"\(?(?:no|empty) (?:output|content|answer|response)\)?|\(?không có nội dung\)?|\(?trống\)?|\(?vide\)?|think)?[\s:：.]*", regex.I)
 _MARKUP = regex.compile(r"<[^<>]{0,200}>|&(?:[a-z]+|#\d+);|\[E?\d+\]|```\w*|[\p{Cf}\p{Cc}\p{Z}\p{P}\p{S}]+", regex.I)
-CITATION = re.compile(r"(?:\s*,?\s*\[E\d+\])+")
+CITATION = re.compile(r"\[E\d+\](?:\s*,?\s*\[E\d+\])*")
 _LAST_CITATION = re.compile(r"(?:\s*,?\s*\[E\d+\])+\s*$")
 _LEAD_IN = regex.compile(r"\s*(?:căn cứ|theo|according to|based on|d'après|selon|根据)\s*[,:]?\s*", regex.I)
-_OPEN_END = regex.compile(r"\[[^\[\]\n]{0,12}$|\([^()\n]{0,60}$|（[^（）\n]{0,60}$")
+_OPEN_END = re.compile(r"\[[^\[\]\n]{0,12}$|\([^()\n]{0,60}$|（[^（）\n]{0,60}$")
 _HAN = re.compile("[\u3400-\u9fff]")
 _TOKEN_HAN = regex.compile(r"\p{Han}|[^\W_\p{Han}]+(?:[.,/%'’\-][^\W_\p{Han}]+)*%?|[^\w\s]|\n")
 _TOKEN = re.compile(r"[^\W_]+(?:[.,/%'’\-][^\W_]+)*%?|[^\w\s]|\n")
@@ -68,7 +68,7 @@ def has_content(text: str | None) -> bool:
     """False for null, blank, labels, placeholders, marks, empty markup and bare citations."""
     if not text:
         return False
-    if len(text) > 60 and "<" not in text[:400] and len(_LONG_WORD.findall(text[:400])) > 12:  # what holds for a part holds for the whole
+    if len(text) > 60 and "<" not in text[:150] and len(_LONG_WORD.findall(text[:150])) > 12:  # what holds for a part holds for the whole
         return True
     bare = _MARKUP.sub(" ", text)
     return not (not bare.strip() or _NOTHING.fullmatch(text.strip()) or _NOTHING.fullmatch(bare.strip()))
