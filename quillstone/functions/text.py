@@ -85,6 +85,3 @@ def safe_name(text: Column) -> Column:
     """A file name: other characters than letters, digits, dot, dash and underscore become one underscore each run."""
     return F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
 
-
-def snake_case(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"(?<!^)(?=[A-Z])", "_"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r"[.!?;。！？；](?:\s+|$)")
+_BREAK = re.compile(r"\n|\. ")
 
 
 def lossless(text: str, limit: int = 2400) -> list[tuple[int, int]]:
@@ -38,20 +40,21 @@ def lossless(text: str, limit: int = 2400) -> list[tuple[int, int]]:
 
 
 def overlapping(text: str, size: int = 1200, overlap: int = 150) -> list[tuple[int, int]]:
-    """(start, end) of windows of at most ``size`` that overlap; a window ends at a line or sentence past its middle if it can."""
-    spans, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            cut = max(text.rfind("\n", start, end), text.rfind(". ", start, end))
-            if cut > start + size // 2:
-                end = cut + 1
-        if text[start:end].strip():
-            spans.append((start, end))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return spans
+    """(start, end) of windows of at most ``size`` that overlap; a window ends at a line or sentence past its middle if it can.
+
+    All places to break are found once: behind a line end, or behind a full stop whose space still lies in the window.
+    """
+    found = [(m.start() + 1, m.end()) for m in _BREAK.finditer(text)]
+    breaks, needs = ([place for place, _ in found], [need for _, need in found])
+    spans, begin, end = [], 0, 0
+    while end < len(text):
+        end = min(len(text), begin + size)
+        last = bisect_right(needs, end) - 1
+        if end < len(text) and last >= 0 and breaks[last] > begin + size // 2 + 1:
+            end = breaks[last]
+        spans.append((begin, end))
+        begin = max(end - overlap, begin + 1)
+    return [(a, b) for a, b in spans if not text[a:b].isspace()]
 
 
 def fragments(df: DataFrame, id_col: str, text_col: str, split: Callable[[str], list[tuple[int, int]]]) -> DataFrame:

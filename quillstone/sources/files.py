@@ -13,12 +13,15 @@ _PAGE = r"(?m)^--- PAGE (\d+) ---\s*$"
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """``path, kind, sha256, byte_size, text``: text and JSON files in UTF-8; others have no text."""
+    """``path, kind, sha256, byte_size, text, problem``: text and JSON files in UTF-8; others have no text. A file that should be
+    UTF-8 and isn't has no text but a problem; the others are read all the same."""
     raw = spark.read.format("binaryFile").load(path)
     kind = (F.when(F.col("path").rlike(r"(?i)\.json$"), "json").when(F.col("path").rlike(r"(?i)\.(txt|md|csv)$"), "text").otherwise("other"))
-    text = F.when(F.col("kind") != "other", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
+    valid = F.try_validate_utf8(F.col("content").cast("string"))
+    readable = F.col("kind") != "other"
     return raw.select("path", kind.alias("kind"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"), "content").select(
-        "path", "kind", "sha256", "byte_size", text.alias("text"))
+        "path", "kind", "sha256", "byte_size", F.when(readable, F.regexp_replace(valid, "^﻿", "")).alias("text"),
+        F.when(readable & valid.isNull(), "not UTF-8").alias("problem"))
 
 
 def pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

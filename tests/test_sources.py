@@ -34,7 +34,10 @@ def test_lenient_counts_lines(spark, tmp_path):
 def test_uploads_and_pages(spark, tmp_path):
     write(tmp_path / "a.txt", "intro\n--- PAGE 1 ---\none\n--- PAGE 2 ---\n\n--- PAGE 3 ---\nthree\n")
     write(tmp_path / "b.bin", "x")
+    (tmp_path / "c.txt").write_bytes(b"broken \xff\xfe text")
     got = files.uploads(spark, str(tmp_path))
+    assert [(r.path[-5:], r.text, r.problem) for r in got.where("problem is not null").collect()] == [("c.txt", None, "not UTF-8")]
+    got = got.where("problem is null")
     assert {r.kind for r in got.collect()} == {"text", "other"}
     text = got.where("kind = 'text'")
     assert [(r.page, r.text) for r in files.pages(text, "path", "text").orderBy("page").collect()] == [(0, "intro"), (1, "one"), (3, "three")]
