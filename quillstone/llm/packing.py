@@ -11,6 +11,8 @@ from quillstone.session import ensure_checkpoint_dir
 
 #: Items that are packed together on average. A group's only loss against one pool of all items is its last containers.
 GROUP_ITEMS = 10_000
+#: Most container sizes that are kept in the plan itself, beyond which they are joined; most repeated ids whose list is broadcast.
+LISTED_SIZES, BROADCAST_IDS = 1000, 100_000
 
 
 class Tournament:
@@ -68,8 +70,9 @@ def fill_containers(items: DataFrame, id_col: str, size_col: str, profiles: Data
     id is packed as any other. Equal sizes are taken in the order of id and piece, so results repeat. An empty table gives
     no rows. Containers are numbered within (profile, group). Other columns are ignored.
 
-    Groups are random by a hash of id (null ids: of the row), so each has the size distribution of the whole and none grows with the data. Whole
-    containers of oversized items never enter the packing: they are full by themselves.
+    Groups are random by a hash of id (of the row for null ids and for ids that repeat more often than a group has items), so each
+    has the size distribution of the whole and none grows with the data. Whole containers of oversized items never enter the
+    packing: they are full by themselves. There may be any number of container sizes.
     """
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)  # sizes may be costly (token counts): they are computed once
@@ -77,14 +80,24 @@ def fill_containers(items: DataFrame, id_col: str, size_col: str, profiles: Data
     groups = max(1, -(-sized.count() // group_items))
     kinds = profiles.select(F.col(profile_col).cast("string").alias("profile"), F.col(capacity_col).cast("long").alias("capacity")).where(
         "capacity > 0").distinct()
-    rows = kinds.limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("at most 1000 container sizes")
+    rows = kinds.limit(LISTED_SIZES + 1).collect()
     if not rows:
         return spark.createDataFrame([], "profile string, group_id int, container long, id long, piece int, start long, size long")
-    boxes = F.array(*(F.struct(F.lit(r.profile).alias("profile"), F.lit(r.capacity).alias("capacity")) for r in rows))
-    each = sized.select("id", "size", F.pmod(F.xxhash64(F.coalesce("id", F.monotonically_increasing_id()), F.lit(seed)), F.lit(groups)).cast("int").alias("group_id"),
-                        F.explode(boxes).alias("box")).select("id", "size", "group_id", "box.profile", "box.capacity")
+    row = F.monotonically_increasing_id()  # stable: the rows are checkpointed
+    repeated = sized.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > group_items).select("id", F.lit(True).alias("hot"))
+    keyed = sized.withColumn("row", row)
+    some = repeated.limit(BROADCAST_IDS + 1).count()
+    if some:
+        keyed = keyed.join(F.broadcast(repeated) if some <= BROADCAST_IDS else repeated, "id", "left")
+        spread = F.when(F.col("id").isNull() | F.col("hot"), F.col("row")).otherwise(F.col("id"))
+    else:
+        spread = F.coalesce("id", "row")
+    grouped = keyed.select("id", "size", F.pmod(F.xxhash64(spread, F.lit(seed)), F.lit(groups)).cast("int").alias("group_id"))
+    if len(rows) <= LISTED_SIZES:
+        boxes = F.array(*(F.struct(F.lit(r.profile).alias("profile"), F.lit(r.capacity).alias("capacity")) for r in rows))
+        each = grouped.select("id", "size", "group_id", F.explode(boxes).alias("box")).select("id", "size", "group_id", "box.profile", "box.capacity")
+    else:  # every group is packed for every size
+        each = grouped.join(kinds.withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group_id")
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         capacity = table["capacity"][0].as_py()

@@ -68,11 +68,13 @@ class Encoder(dict):
     that begins or ends with white space is part of a longer run of it and maps to None: its text takes the pre-token way.
     """
 
-    LIMIT = 400_000
+    #: Most bytes that the units and the pieces kept may take each, with so many for the entry itself.
+    LIMIT, ENTRY = 128 << 20, 200
 
     def __init__(self, table: PerfectHash, pattern: str = PATTERN):
         self.table, self.split = table, regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
+        self.held = self.held_pieces = 0
         self.kind = np.uint16 if max(table.values) < 65_536 else np.uint32
 
     def __missing__(self, unit: str) -> bytes | None:
@@ -80,21 +82,25 @@ class Encoder(dict):
             ids = None
         else:
             ids = self.pre_tokens(" " + unit)
-        if len(self) > self.LIMIT:
+        self.held += self.ENTRY + 2 * len(unit) + len(ids or b"")
+        if self.held > self.LIMIT:
             self.clear()
+            self.held = 0
         self[unit] = ids
         return ids
 
     def pre_tokens(self, text: str) -> bytes:
         known = self.pieces
-        if len(known) > self.LIMIT:
+        if self.held_pieces > self.LIMIT:
             known.clear()
+            self.held_pieces = 0
         return b"".join([known.get(p) or self.piece(p) for p in self.split(text)])
 
     def piece(self, text: str) -> bytes:
         raw = text.encode()
         whole = self.table.get(raw)
         ids = self.pieces[text] = np.array([whole] if whole is not None else self.merge(raw), self.kind).tobytes()
+        self.held_pieces += self.ENTRY + 2 * len(text) + len(ids)
         return ids
 
     def merge(self, raw: bytes) -> list[int]:

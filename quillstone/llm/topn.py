@@ -8,9 +8,12 @@ from pyspark.sql.window import Window
 
 #: Groups with more rows than this are heavy. Most heavy groups whose list is broadcast; beyond it the split is a join.
 HEAVY_ROWS, BROADCAST_GROUPS = 20_000, 100_000
+#: Into so many parts that join spreads each group.
+SALTS = 64
 
 
-def top_items(df: DataFrame, groups: list[str], item: str, score: str, n: int, *, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def top_items(df: DataFrame, groups: list[str], item: str, score: str, n: int, *, heavy_rows: int = HEAVY_ROWS,
+              broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """``*groups, item, score, rank``: the ``n`` best items of each group by score descending, then item ascending.
 
     An item that comes more than once in a group counts once, with its highest score. Rows whose score is null, NaN or
@@ -36,15 +39,19 @@ def top_items(df: DataFrame, groups: list[str], item: str, score: str, n: int, *
     def items(x: DataFrame, by: list[str]) -> DataFrame:
         return x.groupBy(*by, "_i").agg(F.max("_s").alias("_s"))
 
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
     out = ["_i", "_s", "_r"]
     if not count:
         result = best(items(rows.repartition(*keys), keys), keys).select(*keys, *out)
     else:
-        hot = F.broadcast(heavy) if count <= BROADCAST_GROUPS else heavy
-        cold = rows.join(hot, same(rows, hot), "left_anti")
-        hot = hot.select(*(F.col(k).alias(f"h{k}") for k in keys), "_c")
-        salted = rows.join(hot, [rows[k].eqNullSafe(hot[f"h{k}"]) for k in keys]).select(
+        part = F.pmod(F.xxhash64("_i", F.lit(SALTS)), F.lit(SALTS)).cast("int").alias("_part")
+        if count <= broadcast_groups:
+            hot, known = F.broadcast(heavy.withColumn("_p", F.lit(0))), rows.select("*", F.lit(0).alias("_part"))
+        else:  # a join by the group alone would send a heavy group to one task
+            hot, known = heavy.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), rows.select("*", part)
+        hot = hot.select(*(F.col(k).alias(f"h{k}") for k in keys), "_c", "_p")
+        match = [known[k].eqNullSafe(hot[f"h{k}"]) for k in keys] + [known["_part"] == hot["_p"]]
+        cold = known.join(hot, match, "left_anti").drop("_part")
+        salted = known.join(hot, match).select(
             *keys, "_i", "_s", F.pmod(F.xxhash64("_i"), F.ceil(F.col("_c") / heavy_rows)).alias("_salt"))
         ranged = items(salted.repartitionByRange(*keys, "_salt"), [*keys, "_salt"])
         partial = best(ranged, [*keys, "_salt"]).select(*keys, "_i", "_s")

@@ -90,6 +90,30 @@ def test_containers(spark):
     assert packing.fill_containers(items, "id", "size", profiles.limit(0), "p", "c").count() == 0
 
 
+def test_any_number_of_container_sizes(spark):
+    items = spark.createDataFrame([(i, i % 7) for i in range(40)], "id long, size int")
+    profiles = spark.createDataFrame([(f"p{c}", c) for c in range(1, 1501)], "p string, c int")
+    packed = packing.fill_containers(items, "id", "size", profiles, "p", "c", group_items=20)
+    assert packed.select("profile").distinct().count() == 1500
+    used = packed.groupBy("profile", "group_id", "container").sum("size").withColumnRenamed("sum(size)", "used")
+    assert used.join(profiles, used.profile == profiles.p).where("used > c").count() == 0
+    assert packed.where("profile = 'p1500'").groupBy().sum("size").first()[0] == sum(i % 7 for i in range(40))
+
+
+def test_one_repeated_id_is_spread(spark):
+    items = spark.createDataFrame([(1, 3)] * 500 + [(2, 4)] * 5, "id long, size int")
+    packed = packing.fill_containers(items, "id", "size", spark.createDataFrame([("a", 10)], "p string, c int"), "p", "c", group_items=50)
+    assert packed.where("id = 1").select("group_id").distinct().count() > 5 and packed.count() == 505
+
+
+def test_kept_encodings_are_bounded_by_bytes(table, monkeypatch):
+    monkeypatch.setattr(tokenizer.Encoder, "LIMIT", 50_000)
+    encoder = tokenizer.Encoder(table)
+    for i in range(300):
+        assert encoder.encode(f"a {'x' * 500}{i} b")
+        assert sum(map(len, encoder)) < 60_000 and sum(map(len, encoder.pieces)) < 60_000
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
@@ -137,8 +161,8 @@ def test_variants_of_one_text_are_never_paired_with_each_other(spark, monkeypatc
     asked = []
     near = nd._near
     monkeypatch.setattr(nd, "_near", lambda *a: asked.append(near(*a)) or asked[-1])
-    members, links = nd.near_duplicates(df, "id", "content", size=1)
-    assert members.select("ball_id").distinct().count() <= 8
+    members, links = nd.near_duplicates(df, "id", "content", size=1, crowd=200)
+    assert members.select("ball_id").distinct().count() <= 40
     assert sum(p.count() for p in asked) < 100_000  # in all bands, against more than thirty million
     sets = [nd.shingles(t, 1) for t in texts]
     counts = {r.id: r.links for r in nd.link_counts(members, links).collect()}

@@ -86,6 +86,7 @@ def test_top_items(spark, heavy):
     data += [(None, "a", 1.0), (None, "b", 1.0), ("g1", None, 9.0), ("g1", "n", float("nan")), ("g1", "m", None), ("g2", "z", float("inf")), ("g3", "neg", -0.0), ("g3", "pos", 0.0)]
     df = spark.createDataFrame([(*d, 1) for d in data], "g string, item string, score double, rank int")
     assert rows(top_items(df, ["g"], "item", "score", 5, heavy_rows=heavy)) == plain_top(data, 5)
+    assert rows(top_items(df, ["g"], "item", "score", 5, heavy_rows=heavy, broadcast_groups=0)) == plain_top(data, 5)
 
 
 def test_top_of_nothing(spark):
