@@ -28,6 +28,23 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Signs that no reader sees: zero-width ones, soft hyphens, byte-order marks, controls other than line ends and tabs (fixed values).
+UNSEEN = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{00AD}\x{FEFF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}]"
+
+
+@F.pandas_udf(T.StringType())
+def _compatible(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def cleaned(text: Column) -> Column:
+    """In compatibility composition (NFKC), with ``\\n`` for every line end, without unseen signs, a mark joined to the letter that a
+    space tore it from, and no blanks at the ends of lines."""
+    seen = F.regexp_replace(unified_newlines(text), UNSEEN, "")
+    joined = F.regexp_replace(seen, r"(\p{L}) (\p{Mn})", "$1$2")
+    return F.regexp_replace(_compatible(joined), r"(?m)[ \t]+$", "")
+
+
 @F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Lower-case ASCII letters and digits joined by hyphens; accents are dropped."""

@@ -35,7 +35,7 @@ def load() -> None:
     """Imports the plans, which register their queries."""
     import importlib
 
-    for name in ("evaluation", "retrieval", "corpus", "quality", "events", "records"):
+    for name in ("evaluation", "retrieval", "corpus", "quality", "events", "records", "structure"):
         importlib.import_module(f"quillstone.plans.{name}")
 
 

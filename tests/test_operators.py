@@ -127,6 +127,20 @@ def test_sections_and_headings(spark):
     assert [r.lines for r in parsing.sections(lined).orderBy("section").collect()] == [1, 2, 1]
 
 
+def test_levels_end_where_one_above_begins(spark):
+    t = "PHẦN 1\nChương 2\nMục 3\nĐiều 4. A\n1. one\na) x\nbody\nĐiều 5. B\nbody\nChương 3\nbody\n第7章 c\n第8条 d\n2) two"
+    got = parsing.levelled(parsing.lines(spark.createDataFrame([(1, t), (2, None)], "id long, t string"), "id", "t")).orderBy("line")
+    assert [tuple(r[n] for n in parsing.LEVELS) for r in got.collect()] == [
+        ("1", None, None, None, None, None), ("1", "2", None, None, None, None), ("1", "2", "3", None, None, None), ("1", "2", "3", "4", None, None), ("1", "2", "3", "4", "1", None),
+        ("1", "2", "3", "4", "1", "a"), ("1", "2", "3", "4", "1", "a"), ("1", "2", "3", "5", None, None), ("1", "2", "3", "5", None, None), ("1", "3", None, None, None, None),
+        ("1", "3", None, None, None, None), ("1", "7", None, None, None, None), ("1", "7", None, "8", None, None), ("1", "7", None, "8", "2", None)]
+
+
+def test_cleaned(spark):
+    df = spark.createDataFrame([("ﬁle\u200b \u00adx  \r\nđiê ̀u\ufeff №５",), (None,), ("",)], "t string")
+    assert [r.c for r in df.select(text.cleaned(F.col("t")).alias("c")).collect()] == ["file x\nđiều No5", None, ""]
+
+
 def test_running_budget_over_blocks(spark):
     df = spark.createDataFrame([("s", i // 3, i, 10) for i in range(10)], "k string, day int, id int, n int")
     got = running.within_budget(df, ["k"], F.col("day"), ["id"], "n", 45).orderBy("id").collect()
