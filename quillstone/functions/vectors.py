@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.session import ensure_checkpoint_dir
+
 #: Queries that are sent to the tasks at once, so that what is broadcast has a bound: at 1,024 dimensions 160 MB in double.
 BLOCK_QUERIES = 20_000
 
@@ -77,7 +81,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, block: int =
 
     Exact cosine in double, ties by smaller id, a row is no answer to a query with its own id. The corpus is never shuffled:
     each task holds its rows against a block of queries and keeps ``k`` for each; one shuffle by query joins the tasks' best.
-    Queries go out in blocks of bounded size, one pass over the corpus each. Unusable vectors take no part.
+    Queries go out in blocks of bounded size, one pass over the corpus each. Only one block is held and broadcast at a time: with
+    more than one, the answers of each are checkpointed before the next goes out. Unusable vectors take no part.
     """
     spark = queries.sparkSession
     count = queries.count()
@@ -109,9 +114,17 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, block: int =
                         [pa.array(np.repeat(qid[a : a + 512], keep.sum(1))), pa.array(ids[top][keep]), pa.array(value[keep])],
                         ["query_id", "id", "similarity"])
 
-        parts.append(named.mapInArrow(best, "query_id long, id long, similarity double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = named.mapInArrow(best, "query_id long, id long, similarity double")
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+        parts.append(one_block(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), sent, blocks))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def one_block(found: DataFrame, sent: Broadcast, blocks: int) -> DataFrame:
+    """The answers to a block of queries; where there are several blocks they are computed now and the block is let go."""
+    if blocks == 1:
+        return found
+    ensure_checkpoint_dir(found.sparkSession)
+    found = found.checkpoint()
+    sent.destroy()
+    return found

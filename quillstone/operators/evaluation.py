@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.operators.running import running_total
+
+#: Slices of a group's range of values for percentiles.
+SLICES = 1000
+
 
 def gold_items(gold: DataFrame, query: str, items: str) -> DataFrame:
     """``query, item, gold_size``: the expected items of each query, each once."""
@@ -66,9 +71,26 @@ def rank_changes(before: DataFrame, after: DataFrame, gold: DataFrame, query: st
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
-    """Exact percentiles by linear interpolation; nulls are left out."""
-    named = [F.round(F.percentile(F.col(value).cast("double"), F.lit(p)), 6).alias(f"p{round(p * 100)}") for p in points]
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), *named)
+    """Exact percentiles by linear interpolation; nulls are left out.
+
+    Equal values are counted first; their places come from running totals over slices of the range of a group, so a group of
+    any size is spread and no task holds all of its values.
+    """
+    kept, by = by, by or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)).where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).withColumnsRenamed({b: f"_{b}" for b in by})
+    known = counts.join(ends, [counts[b].eqNullSafe(ends[f"_{b}"]) for b in by]).drop(*(f"_{b}" for b in by))
+    slice_ = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * SLICES)).otherwise(F.lit(0))
+    placed = running_total(known, by, slice_, ["_v"], "_c", "_before")
+    named = []
+    for p in points:
+        at = (F.col("n") - 1) * F.lit(float(p))
+        holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_c"))
+        low, high = (F.max(F.when(holds(f(at)), F.col("_v"))) for f in (F.floor, F.ceil))
+        share = F.max(at - F.floor(at))
+        named.append(F.round(low + (high - low) * share, 6).alias(f"p{round(p * 100)}"))
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *named).select(*kept, "n", *(f"p{round(p * 100)}" for p in points))
 
 
 def top_of_each(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.functions.vectors import one_block
 from quillstone.functions.text import tokens
 
 #: Weights of titles (A), headings (B) and contents (C), as usual defaults of weighted text search.
@@ -55,7 +56,8 @@ def search(df: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame,
 
     The score is the weighted number of occurrences, dampened by 1 + ln. All tokens of a document lie in one row, so a task
     scores its documents against a block of queries and keeps ``k`` for each query: common terms never make a pair of query
-    and document leave its task, and one small shuffle joins the tasks' best. Queries go out in blocks of bounded size. Ties
+    and document leave its task, and one small shuffle joins the tasks' best. Queries go out in blocks of bounded size, of which
+    only one is held and broadcast at a time. Ties
     go to the smaller id; documents without a match, null ids and queries without terms have no rows.
     """
     ids = [F.col(id_col).cast("long").alias("id")]
@@ -99,9 +101,10 @@ def search(df: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame,
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids[d]), pa.array(matched[d, q].astype(np.int64)), pa.array(score[d, q])],
                                                  ["query_id", "id", "matched", "score"])
 
-        parts.append(listed.mapInArrow(best, f"query_id {kind}, id long, matched long, score double"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = listed.mapInArrow(best, f"query_id {kind}, id long, matched long, score double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        parts.append(one_block(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), sent, -(-count // block)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cover_density(posted: DataFrame, terms: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:

@@ -85,8 +85,9 @@ def label_classes(spark, sf):
 @query(f"""SELECT chunk_id, row_number() OVER (PARTITION BY {', '.join(_TUPLE)} ORDER BY chunk_id) AS occurrence FROM policy_chunks""")
 def label_occurrences(spark, sf):
     """Which occurrence of its label a chunk is, in the order of ids."""
-    w = Window.partitionBy(*_TUPLE).orderBy("chunk_id")
-    return table(spark, sf, "policy_chunks").select("chunk_id", F.row_number().over(w).alias("occurrence"))
+    rows = table(spark, sf, "policy_chunks").select(*_TUPLE, "chunk_id", F.lit(1).alias("one"))
+    placed = running.running_total(rows, list(_TUPLE), F.floor(F.col("chunk_id") / 10_000), ["chunk_id"], "one")
+    return placed.select("chunk_id", (F.col("total_before") + 1).alias("occurrence"))
 
 
 @query("""SELECT source_id, version_id, content_hash, count(*) AS copies, min(chunk_id) AS first_id, max(chunk_id) AS last_id

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import vectors as vec
 from quillstone.operators import fulltext as ft
 from quillstone.operators import retrieval as rt
-from quillstone.plans.common import ACCESS, DIM, RUNS, USABLE, access, runs
+from quillstone.operators import evaluation as ev
+from quillstone.plans.common import ACCESS, DIM, RUNS, USABLE, access, runs, items_of_runs
 from quillstone.plans.registry import query
 from quillstone.session import table
 
@@ -84,9 +85,9 @@ def vector_defects(spark, sf):
 def norm_statistics(spark, sf):
     chunks = table(spark, sf, "policy_chunks").select("source_id", "embedding", vec.defect(F.col("embedding"), DIM).alias("defect"))
     n = chunks.where("defect IS NULL OR defect = 'not unit'").select("source_id", vec.norm(F.col("embedding")).alias("norm"))
-    return n.groupBy("source_id").agg(
-        F.count("*").alias("n"), F.round(F.min("norm"), 6).alias("least"), F.round(F.percentile("norm", F.lit(0.5)), 6).alias("median"),
-        F.round(F.avg("norm"), 6).alias("mean"), F.round(F.percentile("norm", F.lit(0.95)), 6).alias("p95"), F.round(F.max("norm"), 6).alias("most"))
+    plain = n.groupBy("source_id").agg(F.round(F.min("norm"), 6).alias("least"), F.round(F.avg("norm"), 6).alias("mean"), F.round(F.max("norm"), 6).alias("most"))
+    shares = ev.percentiles(n, ["source_id"], "norm", [0.5, 0.95]).withColumnsRenamed({"p50": "median", "source_id": "s"})
+    return plain.join(shares, plain.source_id.eqNullSafe(shares.s)).select("source_id", "n", "least", "median", "mean", "p95", "most")
 
 
 _FUSED = f"""WITH {RUNS},
@@ -128,9 +129,8 @@ def candidate_union(spark, sf):
     WHERE v.retrieval_source = 'vector' AND v.run = 1 AND v.rank <= 20 AND r.retrieval_source = 'reranker' AND r.run = 1 QUALIFY place <= 5""")
 def reranked(spark, sf):
     """Candidates of vector retrieval in the order of the reranker's scores, five of each."""
-    r = runs(spark, sf).where("run = 1")
-    candidates = r.where("retrieval_source = 'vector' AND rank <= 20").select("evaluation_id", "canonical_chunk_id")
-    scores = r.where("retrieval_source = 'reranker'").select("evaluation_id", "canonical_chunk_id", "score")
+    candidates = runs(spark, sf, 20).where("run = 1 AND retrieval_source = 'vector'").select("evaluation_id", "canonical_chunk_id")
+    scores = items_of_runs(spark, sf).where("run = 1 AND retrieval_source = 'reranker'").select("evaluation_id", "canonical_chunk_id", "score")
     return rt.rerank(candidates, scores, ["evaluation_id"], "canonical_chunk_id", "score", 5).withColumnRenamed("rank", "place")
 
 

@@ -147,6 +147,17 @@ def test_running_budget_over_blocks(spark):
     assert [(r.id, r.taken) for r in got] == [(0, 10), (1, 10), (2, 10), (3, 10), (4, 5)]
 
 
+def test_percentiles_of_one_large_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = np.round(np.r_[rng.exponential(3, 4000), [0.0] * 500, 1e6], 3)
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", 2.0), ("h", 4.0), (None, 1.0), ("g", None)], "k string, v double")
+    got = {r.k: r for r in evaluation.percentiles(df, ["k"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    assert [got["g"][f"p{p}"] for p in (0, 50, 95, 100)] == [pytest.approx(round(float(np.percentile(values, p)), 6)) for p in (0, 50, 95, 100)]
+    assert (got["h"].p50, got["h"].n, got[None].p95) == (3.0, 2, 1.0)
+
+
 def test_changes(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 1)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "x", None), (2, "y", 2), (4, "w", 1)], "k int, s string, n int")
