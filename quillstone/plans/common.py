@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators.retrieval import ranked
@@ -47,6 +47,19 @@ USABLE = f"""
 ACCESS = "access AS (SELECT DISTINCT document_source_id AS source_id, specialist_scope AS scope FROM evidence WHERE document_source_id IS NOT NULL)"
 
 
+#: Characters that a question may have in common with a passage before it counts as copied.
+STRETCH = 80
+
+
+def copied_stretch(question: Column, passage: Column) -> Column:
+    """The question holds a stretch of ``STRETCH`` characters from anywhere in the passage, or all of a shorter passage.
+
+    A common stretch is one of the question's own, of which there are few, so the whole passage is searched for those.
+    """
+    starts = F.when(F.length(question) >= STRETCH, F.sequence(F.lit(1), F.length(question) - STRETCH + 1))
+    return question.contains(passage) | F.coalesce(F.exists(starts, lambda i: passage.contains(F.substring(question, i, F.lit(STRETCH)))), F.lit(False))
+
+
 def access(spark: SparkSession, sf: str) -> DataFrame:
     served = table(spark, sf, "evidence").where("document_source_id IS NOT NULL")
     return served.select(F.col("document_source_id").alias("source_id"), F.col("specialist_scope").alias("scope")).distinct()

@@ -198,7 +198,8 @@ def question_excerpts(spark, sf):
     return table(spark, sf, "rag_answers").select("trace_id", text.excerpt(F.col("question"), 80).alias("excerpt"))
 
 
-@query()
+@query("""SELECT c.chunk_id, concat_ws('-', trim(regexp_replace(strip_accents(replace(lower(d.title), 'đ', 'd')), '[^a-z0-9]+', '-', 'g'), '-'), c.chunk_id) AS name
+    FROM policy_chunks c JOIN policy_documents d USING (document_id)""")
 def title_slugs(spark, sf):
     """Names for files and addresses from titles, joined to all chunks of the document."""
     titles = table(spark, sf, "policy_documents").select("document_id", text.slug(F.col("title")).alias("slug"))

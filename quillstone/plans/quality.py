@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.operators import changes, graph
+from quillstone.plans.common import copied_stretch
 from quillstone.plans.registry import query
 from quillstone.session import table
 
@@ -203,16 +204,18 @@ def broken_unique_keys(spark, sf):
 
 
 @query("""SELECT g.evaluation_id, list_sort(list(DISTINCT flag)) AS leaks FROM (
-    SELECT g.evaluation_id, unnest(list_filter([CASE WHEN contains(g.query, c.canonical_chunk_id) THEN 'id' END, CASE WHEN contains(lower(g.query), lower(substr(c.content, 1, 80))) THEN 'excerpt' END,
+    SELECT g.evaluation_id, unnest(list_filter([CASE WHEN contains(g.query, c.canonical_chunk_id) THEN 'id' END, CASE WHEN contains(lower(g.query), lower(c.content))
+            OR (length(g.query) >= 80 AND len(list_filter(range(1, length(lower(g.query)) - 78), lambda i: contains(lower(c.content), substr(lower(g.query), i, 80)))) > 0) THEN 'excerpt' END,
         CASE WHEN contains(lower(g.query), lower(c.article)) THEN 'heading' END, CASE WHEN contains(lower(c.content), lower(rtrim(g.query, '?'))) THEN 'question' END], lambda x: x IS NOT NULL)) AS flag, g.evaluation_id AS e
     FROM (SELECT evaluation_id, query, unnest(expected_canonical_chunk_ids) AS canonical_chunk_id FROM gold_queries) g JOIN policy_chunks c USING (canonical_chunk_id)) g GROUP BY ALL""")
 def leaking_questions(spark, sf):
-    """Questions that give their answer away: the id, the beginning or the heading of an expected passage, or a passage that holds the question."""
+    """Questions that give their answer away: the id, a stretch of 80 characters from anywhere in an expected passage (or all of a
+    shorter one), its heading, or a passage that holds the question."""
     gold = table(spark, sf, "gold_queries").select("evaluation_id", "query", F.explode("expected_canonical_chunk_ids").alias("canonical_chunk_id"))
     chunks = table(spark, sf, "policy_chunks").select("canonical_chunk_id", "content", "article")
     q = F.lower("query")
     flags = F.array_compact(F.array(
-        F.when(F.col("query").contains(F.col("canonical_chunk_id")), "id"), F.when(q.contains(F.lower(F.substring("content", 1, 80))), "excerpt"),
+        F.when(F.col("query").contains(F.col("canonical_chunk_id")), "id"), F.when(copied_stretch(q, F.lower("content")), "excerpt"),
         F.when(q.contains(F.lower("article")), "heading"), F.when(F.lower("content").contains(F.lower(F.rtrim("query", F.lit("?")))), "question")))
     found = gold.join(chunks, "canonical_chunk_id").select("evaluation_id", F.explode(flags).alias("flag"))
     return found.groupBy("evaluation_id").agg(F.sort_array(F.collect_set("flag")).alias("leaks"))

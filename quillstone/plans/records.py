@@ -83,21 +83,21 @@ def merged_flags(spark, sf):
     return wide.select("evaluation_id", merged.alias("abstained"), (~F.col("1").eqNullSafe(merged)).alias("overridden"))
 
 
-@query("""WITH claimed AS (SELECT content_hash AS k, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b FROM policy_chunks GROUP BY ALL HAVING count(*) > 1),
-    real AS (SELECT sha256(content) AS k, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b FROM policy_chunks GROUP BY ALL HAVING count(*) > 1)
+@query("""WITH claimed AS (SELECT content_hash AS k, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b, list_sort(list(chunk_id)) AS ids FROM policy_chunks GROUP BY ALL HAVING count(*) > 1),
+    real AS (SELECT sha256(content) AS k, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b, list_sort(list(chunk_id)) AS ids FROM policy_chunks GROUP BY ALL HAVING count(*) > 1)
     SELECT coalesce(c.k, r.k) AS content_hash, CASE WHEN c.k IS NULL THEN 'missed' WHEN r.k IS NULL THEN 'claimed' ELSE 'other members' END AS problem
-    FROM claimed c FULL JOIN real r ON c.k = r.k WHERE c.k IS NULL OR r.k IS NULL OR c.n <> r.n OR c.a <> r.a OR c.b <> r.b""")
+    FROM claimed c FULL JOIN real r ON c.k = r.k WHERE c.k IS NULL OR r.k IS NULL OR c.n <> r.n OR c.a <> r.a OR c.b <> r.b OR c.ids <> r.ids""")
 def copy_group_mismatches(spark, sf):
-    """Groups of copies by the stored hash against those by the content itself."""
+    """Groups of copies by the stored hash against those by the content itself; members are compared by their number, ends and sum of hashes."""
     rows = table(spark, sf, "policy_chunks")
 
     def groups(key, s):
-        g = rows.groupBy(key.alias("content_hash")).agg(F.count("*").alias(f"n{s}"), F.min("chunk_id").alias(f"a{s}"), F.max("chunk_id").alias(f"b{s}"))
+        g = rows.groupBy(key.alias("content_hash")).agg(F.count("*").alias(f"n{s}"), F.min("chunk_id").alias(f"a{s}"), F.max("chunk_id").alias(f"b{s}"), F.sum(F.xxhash64("chunk_id").cast("decimal(38,0)")).alias(f"m{s}"))
         return g.where(F.col(f"n{s}") > 1)
 
     both = groups(F.col("content_hash"), 1).join(groups(F.sha2("content", 256), 2), "content_hash", "full")
     problem = (F.when(F.col("n1").isNull(), "missed").when(F.col("n2").isNull(), "claimed")
-               .when((F.col("n1") != F.col("n2")) | (F.col("a1") != F.col("a2")) | (F.col("b1") != F.col("b2")), "other members"))
+               .when((F.col("n1") != F.col("n2")) | (F.col("a1") != F.col("a2")) | (F.col("b1") != F.col("b2")) | (F.col("m1") != F.col("m2")), "other members"))
     return both.select("content_hash", problem.alias("problem")).where("problem IS NOT NULL")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import text
 from quillstone.operators import parsing
 from quillstone.operators.running import running_total
-from quillstone.plans.common import RUNS, runs
+from quillstone.plans.common import RUNS, STRETCH, copied_stretch, runs
 from quillstone.plans.registry import query
 from quillstone.session import table
 
@@ -120,22 +120,14 @@ def copy_group_members(spark, sf):
 
 # rules
 
-_STRETCH = 80
-
-
 @query(f"""SELECT DISTINCT g.evaluation_id, c.chunk_id FROM (SELECT evaluation_id, lower(query) AS q, unnest(list_distinct(expected_canonical_chunk_ids)) AS k FROM gold_queries) g
     JOIN (SELECT chunk_id, canonical_chunk_id, lower(content) AS c FROM policy_chunks) c ON c.canonical_chunk_id = g.k
-    WHERE contains(q, c) OR (length(q) >= {_STRETCH} AND len(list_filter(range(1, length(q) - {_STRETCH} + 2), lambda i: contains(c, substr(q, i, {_STRETCH})))) > 0)""")
+    WHERE contains(q, c) OR (length(q) >= {STRETCH} AND len(list_filter(range(1, length(q) - {STRETCH} + 2), lambda i: contains(c, substr(q, i, {STRETCH})))) > 0)""")
 def copied_stretches(spark, sf):
-    """Questions that copy a stretch of 80 characters, from wherever in an expected passage, or all of a shorter one.
-
-    A common stretch is one of the question's own, of which there are few, so whole passages are searched for those.
-    """
+    """Questions that copy a stretch of 80 characters, from wherever in an expected passage, or all of a shorter one."""
     gold = table(spark, sf, "gold_queries").select("evaluation_id", F.lower("query").alias("q"), F.explode(F.array_distinct("expected_canonical_chunk_ids")).alias("canonical_chunk_id"))
     chunks = table(spark, sf, "policy_chunks").select("chunk_id", "canonical_chunk_id", F.lower("content").alias("c"))
-    starts = F.sequence(F.lit(1), F.length("q") - _STRETCH + 1)
-    stretch = (F.length("q") >= _STRETCH) & F.exists(F.when(F.length("q") >= _STRETCH, starts), lambda i: F.col("c").contains(F.substring(F.col("q"), i, F.lit(_STRETCH))))
-    return gold.join(chunks, "canonical_chunk_id").where(F.col("q").contains(F.col("c")) | stretch).select("evaluation_id", "chunk_id").distinct()
+    return gold.join(chunks, "canonical_chunk_id").where(copied_stretch(F.col("q"), F.col("c"))).select("evaluation_id", "chunk_id").distinct()
 
 
 _QUESTION_RULES = {

@@ -78,6 +78,16 @@ def test_text(spark):
     assert tuple(r) == ("A b C", "dieu-kien", [1, 2], 1 / 8, "a_b_c_.txt")
 
 
+def test_copied_stretches(spark):
+    from quillstone.plans.common import copied_stretch
+
+    passage = "".join(f"word{i} " for i in range(60))
+    cases = [("is it " + passage[150:230] + "?", passage, True), ("is it " + passage[150:229] + "?", passage, False), ("say short text now", "short text", True),
+             ("nothing", passage, False), ("x" * 80, "", True), ("x", None, None), (None, "y", None)]
+    df = spark.createDataFrame([(i, q, p) for i, (q, p, _) in enumerate(cases)], "i int, q string, p string")
+    assert [r.c for r in df.select("i", copied_stretch(F.col("q"), F.col("p")).alias("c")).orderBy("i").collect()] == [c for *_, c in cases]
+
+
 def test_excerpt_ends_at_a_word(spark):
     r = spark.range(1).select(text.excerpt(F.lit("one two three four"), 10).alias("e")).first()
     assert r.e == "one two…"
