@@ -36,6 +36,29 @@ def islands(df: DataFrame, by: list[str], order: list, changes: Column, name: st
     return df.withColumn(name, F.sum(F.when(changes, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def islands_in_blocks(df: DataFrame, by: list[str], block: Column, order: str, columns: list[str], name: str = "island") -> DataFrame:
+    """Numbers the runs of rows in which ``columns`` stay the same (null equals null), for groups of any size.
+
+    ``block`` must not decrease in the given order, and ``order`` orders the rows of a block. A block is compared inside itself;
+    its first row is compared with the last one of the block before, of which there is one row a block.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    state = F.struct(*columns)
+    named = df.withColumn("_block", block)
+    inside = Window.partitionBy(*by, "_block").orderBy(order)
+    lasts = named.groupBy(*by, "_block").agg(F.max_by(state, order).alias("_last"))
+    earlier = lasts.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col("_block").alias("_kb"),
+                           F.lag("_last").over(Window.partitionBy(*by).orderBy("_block")).alias("_before"))
+    rows = named.withColumns({"_inside": F.lag(state).over(inside), "_head": F.row_number().over(inside) == 1})
+    joined = rows.join(earlier, [rows[b].eqNullSafe(earlier[k]) for b, k in zip(by, keys)] + [rows["_block"].eqNullSafe(earlier["_kb"])]).drop(*keys, "_kb")
+    before = F.when(F.col("_head"), F.col("_before")).otherwise(F.col("_inside"))
+    fresh = before.isNull()
+    for c in columns:
+        fresh = fresh | ~before[c].eqNullSafe(F.col(c))
+    counted = running_total(joined.withColumn("_fresh", fresh.cast("int")), by, F.col("_block"), [order], "_fresh", "_total")
+    return counted.select(*df.columns, (F.col("_total") + F.col("_fresh")).alias(name))
+
+
 def carried_forward(df: DataFrame, by: list[str], order: list, columns: list[str]) -> DataFrame:
     """The last value that isn't null so far, for each of the columns."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

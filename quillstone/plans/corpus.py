@@ -104,15 +104,18 @@ _ISLANDS = """WITH c AS (SELECT *, CASE WHEN article IS DISTINCT FROM lag(articl
 """
 
 
+def _page():
+    """The page of a chunk; chunks without one come last."""
+    return F.coalesce("page_start", F.lit(2147483647))
+
+
 @query(_ISLANDS + """SELECT source_id, version_id, section, instance, count(*) AS provisions, sum(length(content)) + count(*) - 1 AS packed_length,
     CASE WHEN sum(length(content)) + count(*) - 1 <= 2400 THEN 'PACK' ELSE 'SPLIT' END AS action FROM i GROUP BY ALL""")
 def article_instances(spark, sf):
     """Runs of provisions of one article in reading order, and whether each fits one chunk of 2,400 characters."""
-    by, order = ["source_id", "version_id", "section"], ["page_start", "chunk_id"]
-    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("page_start"), "chunk_id")
-    rows = table(spark, sf, "policy_chunks").select(*by, *order, "article", "chapter", F.length("content").alias("n"))
-    fresh = ~F.col("article").eqNullSafe(F.lag("article").over(w)) | ~F.col("chapter").eqNullSafe(F.lag("chapter").over(w)) | F.lag("chunk_id").over(w).isNull()
-    found = running.islands(rows.withColumn("fresh", fresh), by, [F.asc_nulls_last("page_start"), F.asc("chunk_id")], F.col("fresh"), "instance")
+    by = ["source_id", "version_id", "section"]
+    rows = table(spark, sf, "policy_chunks").select(*by, "page_start", "chunk_id", "article", "chapter", F.length("content").alias("n"))
+    found = running.islands_in_blocks(rows, by, _page(), "chunk_id", ["article", "chapter"], "instance")
     length = F.sum("n") + F.count("*") - 1
     return found.groupBy(*by, "instance").agg(F.count("*").alias("provisions"), length.alias("packed_length"), F.when(length <= 2400, "PACK").otherwise("SPLIT").alias("action"))
 
@@ -121,13 +124,10 @@ def article_instances(spark, sf):
     SELECT source_id, version_id, section, instance, sha256(whole) AS whole_hash, length(whole) AS characters FROM a""")
 def packed_articles(spark, sf):
     """Articles packed into chunks of at most 2,400 characters, then put together again: what comes out must be the article."""
-    by, order = ["source_id", "version_id", "section"], [F.asc_nulls_last("page_start"), F.asc("chunk_id")]
-    w = Window.partitionBy(*by).orderBy(*order)
+    by = ["source_id", "version_id", "section"]
     rows = table(spark, sf, "policy_chunks").select(*by, "page_start", "chunk_id", "article", "chapter", "content")
-    fresh = ~F.col("article").eqNullSafe(F.lag("article").over(w)) | ~F.col("chapter").eqNullSafe(F.lag("chapter").over(w)) | F.lag("chunk_id").over(w).isNull()
-    found = running.islands(rows.withColumn("fresh", fresh), by, order, F.col("fresh"), "instance")
-    last = F.lit(2147483647)
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("page_start", last).alias("p"), "chunk_id", "content")))
+    found = running.islands_in_blocks(rows, by, _page(), "chunk_id", ["article", "chapter"], "instance")
+    ordered = F.sort_array(F.collect_list(F.struct(_page().alias("p"), "chunk_id", "content")))
     articles = found.groupBy(*by, "instance").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("whole"))
     named = articles.withColumn("article_key", F.to_json(F.struct(*by, "instance"), {"ignoreNullFields": "false"}))
     parts = chunking.fragments(named, "article_key", "whole", chunking.lossless)

@@ -157,6 +157,13 @@ def test_running_budget_over_blocks(spark):
     assert [(r.id, r.taken) for r in got] == [(0, 10), (1, 10), (2, 10), (3, 10), (4, 5)]
 
 
+def test_islands_across_blocks(spark):
+    data = [("g", 1, 1, "a"), ("g", 1, 2, "a"), ("g", 2, 3, "a"), ("g", 2, 4, None), ("g", 3, 5, None), ("g", 3, 6, "b"), ("g", 7, 7, "a"), (None, 1, 8, "b"), (None, 2, 9, "b"), ("h", 1, 10, None)]
+    df = spark.createDataFrame(data, "k string, page int, id int, x string")
+    got = running.islands_in_blocks(df, ["k"], F.col("page"), "id", ["x"])
+    assert [(r.id, r.island) for r in got.orderBy("id").collect()] == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 4), (8, 1), (9, 1), (10, 1)]
+
+
 def test_percentiles_of_one_large_group(spark):
     import numpy as np
 
