@@ -259,9 +259,9 @@ def _hashes() -> list:
     return [F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g")]
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int = 128, replicas: int = 3, slack: float = 0.1, probes: int = 8,
+def nearest(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int = 128, replicas: int = 4, slack: float = 0.12, probes: int = 8,
             cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, projections: int = 28, start: float = 0.5,
-            growth: float = 1.2, width: float = 1.36, threshold: float = 0.67, budget: int = 48, seed: int = 17) -> DataFrame:
+            growth: float = 1.2, width: float = 1.36, threshold: float = 0.64, budget: int = 48, seed: int = 17) -> DataFrame:
     """``id, neighbour, similarity``: for each usable vector its k most similar others (cosine in double; ties: smaller id).
 
     Unusable vectors (null, another length than ``dim``, a null or non-finite number, all zero) are neither queries nor
