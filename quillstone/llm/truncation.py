@@ -29,10 +29,10 @@ from pyspark.sql.window import Window
 from quillstone.session import ensure_checkpoint_dir
 
 #: Answers that stand for nothing: labels, placeholders of programs, empty marks (fixed values).
-_NOTHING = regex.compile(
+PLACEHOLDER = regex.compile(
     r"(?:answer|response|output|trả lời|câu trả lời|đáp án|réponse|回答|答案|none|null|nil|nan|n/a|na|undefined|"
     r"\(?(?:no|empty) (?:output|content|answer|response)\)?|\(?không có nội dung\)?|\(?trống\)?|\(?vide\)?|think)?[\s:：.]*", regex.I)
-_MARKUP = regex.compile(r"<[^<>]{0,200}>|&(?:[a-z]+|#\d+);|\[E?\d+\]|```\w*|[\p{Cf}\p{Cc}\p{Z}\p{P}\p{S}]+", regex.I)
+MARKUP = regex.compile(r"<[^<>]{0,200}>|&(?:[a-z]+|#\d+);|\[E?\d+\]|```\w*|[\p{Cf}\p{Cc}\p{Z}\p{P}\p{S}]+", regex.I)
 CITATION = re.compile(r"\[E\d+\](?:\s*,?\s*\[E\d+\])*")
 _LAST_CITATION = re.compile(r"(?:\s*,?\s*\[E\d+\])+\s*$")
 _LEAD_IN = regex.compile(r"\s*(?:căn cứ|theo|according to|based on|d'après|selon|根据)\s*[,:]?\s*", regex.I)
@@ -70,8 +70,8 @@ def has_content(text: str | None) -> bool:
         return False
     if len(text) > 60 and "<" not in text[:150] and len(_LONG_WORD.findall(text[:150])) > 12:  # what holds for a part holds for the whole
         return True
-    bare = _MARKUP.sub(" ", text)
-    return not (not bare.strip() or _NOTHING.fullmatch(text.strip()) or _NOTHING.fullmatch(bare.strip()))
+    bare = MARKUP.sub(" ", text)
+    return not (not bare.strip() or PLACEHOLDER.fullmatch(text.strip()) or PLACEHOLDER.fullmatch(bare.strip()))
 
 
 def measures(text: str) -> tuple[int, ...]:
