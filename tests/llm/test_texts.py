@@ -183,6 +183,20 @@ def test_weighted_pairs_against_brute_force(spark):
     assert found <= true and len(found) >= 0.98 * len(true)
 
 
+def test_sets_and_bands_are_never_broadcast(spark):
+    """Spark's estimate of their size is far too small: with room for broadcasts, whole tables of them went to the driver."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(passages(40))], "id long, content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        members, links = nd.near_duplicates(df, "id", "content", size=1, crowd=16)
+        for result in (links, nd.expand_pairs(members, links), nd.link_counts(members, links)):
+            result.collect()
+            plan = result._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shingles_of_five():
     assert nd.shingles("a b c d e f", 5) == {"a b c d e", "b c d e f"} and nd.shingles("A b", 5) == {"a b"} and nd.shingles(" … ", 5) == set()
 
