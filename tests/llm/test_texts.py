@@ -183,6 +183,20 @@ def test_weighted_pairs_against_brute_force(spark):
     assert found <= true and len(found) >= 0.98 * len(true)
 
 
+def test_frequent_words_make_weighted_texts_similar_however_many_rare_ones_stand_beside(spark):
+    texts = ["a b " * 50, "a b " * 50 + "c", "d " * 100, "d " * 100 + " ".join(f"r{i}" for i in range(10)), "e f", "e f g"]
+    for crowd in (nd.CROWDED, 0):  # 0: every band is crowded
+        members, links = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, content string"), "id", "content", size=1, weighted=True, crowd=crowd)
+        assert {(r.class_a, r.class_b, round(r.similarity, 3)) for r in links.collect()} == {(0, 1, 0.99), (2, 3, 0.909)}
+
+
+def test_small_sets_at_the_threshold(spark):
+    """Four words and the same with a fifth: 0.8."""
+    texts = [f"a{i} b{i} c{i} d{i}" + f" e{i}" * more for i in range(400) for more in (0, 1)]
+    members, links = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, content string"), "id", "content", size=1)
+    assert links.count() == 400
+
+
 def test_sets_and_bands_are_never_broadcast(spark):
     """Spark's estimate of their size is far too small: with room for broadcasts, whole tables of them went to the driver."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(passages(40))], "id long, content string")
