@@ -110,6 +110,19 @@ def test_planted_defects_are_found():
         assert own.sum() == 20 and (patterns[d][own][:, some] == 1).any(1).all() and (patterns[d][[label == "sound" for label in labels]][:, some] < 1).all()
 
 
+def test_letters_and_cutoffs_are_learnt_from_all_rows(spark):
+    english = "The lending branch must file the tax report in the core system before the loan is paid out, unless the reviewer has objected [E2]."
+    data = [(i, QUESTION if i % 2 else "Who has to file the tax report if the deal is cancelled?", f"{GOOD if i % 2 else english} {i}.", False, None, 40) for i in range(1200)]
+    df = spark.createDataFrame(data, "trace_id long, question string, answer string, abstained boolean, error string, tokens int").repartition(3)
+    counts = pd_.letter_counts(df, ["question", "answer"])
+    assert counts == pd_.letters_of([t for r in data for t in r[1:3]])
+    none = {d: np.zeros(3 ** len(fs)) for d, fs in pd_.FUNCTIONS.items()}
+    letters = spark.sparkContext.broadcast(pd_.Letters(counts=counts))
+    planted = pd_.planted_counts(df, {k: k for k in ("question", "answer", "abstained", "error", "tokens")}, letters, none)
+    for d in pd_.FUNCTIONS:
+        assert [sum(n for defect, own, _, n in planted if defect == d and own is y) for y in (False, True)] == [1200, 1200], d
+
+
 @pytest.mark.parametrize("text, kind", [
     ("Một câu trọn vẹn.", "whole"), ("A whole sentence [E1]", "whole"), ("A sentence that [E", "torn"), ("Một câu bị c�", "torn"), ("one, two,", "torn"),
     ("Tóm tắt: bên vay phải bàn giao hợp", "prose"), ("Căn cứ [E1]", "torn"), ("55 ngày làm việc", "phrase"), ("- một\n- hai", "list"), ("The sum is 18.", "number"), ("It ends on 05/06/2020.", "whole"), ("The sum is 1.200.", "number"),
